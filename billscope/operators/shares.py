@@ -24,16 +24,10 @@ def mode_with_share(
     counts = tokens.where(F.col(token).isNotNull()).groupBy(cluster, token).agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct(*position)).alias("_first")
     )
-    leader = F.max("_n")
-    best = counts.groupBy(cluster).agg(leader.alias(freq), F.sum("_n").alias("_all"))
-    winners = counts.join(
-        best.withColumnRenamed(cluster, "_cluster"),
-        (F.col(cluster) == F.col("_cluster")) & (F.col("_n") == F.col(freq)),
-    )
-    return winners.groupBy(cluster).agg(
-        F.min_by(token, "_first").alias(theme),
-        F.max(freq).alias(freq),
-        F.max("_all").alias("_all"),
+    return counts.groupBy(cluster).agg(
+        F.min_by(token, F.struct((-F.col("_n")).alias("n"), "_first")).alias(theme),
+        F.max("_n").alias(freq),
+        F.sum("_n").alias("_all"),
     ).select(cluster, theme, freq, round2(F.col(freq) / F.col("_all") * 100).alias(pct))
 
 
