@@ -20,22 +20,31 @@ NO_STATUS = "Indefinido"
 NO_THEME = "Sem temas"
 
 
-def flat_authors(authors: DataFrame, details: DataFrame) -> DataFrame:
-    """Author resources to rows ``(id_bill, seq, label, tipo)``, party and state from details.
-
-    One author may sign a large share of the bills, so details come through the
-    skew-safe attach.
-    """
-    rows = authors.select("id_bill", F.posexplode("dados").alias("seq", "a")).select(
+def flat_authors(authors: DataFrame) -> DataFrame:
+    """Author resources to rows ``(id_bill, seq, uri, nome, tipo)``."""
+    return authors.select("id_bill", F.posexplode("dados").alias("seq", "a")).select(
         "id_bill", "seq", F.col("a.uri").alias("uri"), F.col("a.nome").alias("nome"),
         F.col("a.tipo").alias("tipo"),
     )
+
+
+def author_labels(
+    rows: DataFrame, details: DataFrame, uri: str = "uri", name: str = "nome", label: str = "label"
+) -> DataFrame:
+    """Add ``name (party-state)`` labels, unknown parts as ``?``.
+
+    ``details`` holds ``uri`` and ``ultimoStatus``. One author may sign a large share of
+    all bills, so the detail comes through the skew-safe attach.
+    """
     known = details.select(
-        "uri", F.col("ultimoStatus.siglaPartido").alias("party"), F.col("ultimoStatus.siglaUf").alias("state")
+        F.col("uri").alias(uri),
+        F.col("ultimoStatus.siglaPartido").alias("_party"),
+        F.col("ultimoStatus.siglaUf").alias("_state"),
     )
-    rows = attach(rows, ["uri"], known)
-    label = text.author_label(F.col("nome"), F.col("party"), F.col("state"))
-    return rows.select("id_bill", "seq", label.alias("label"), "tipo")
+    named = attach(rows, [uri], known)
+    return named.withColumn(
+        label, text.author_label(F.col(name), F.col("_party"), F.col("_state"))
+    ).drop("_party", "_state")
 
 
 def author_texts(

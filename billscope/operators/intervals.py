@@ -208,11 +208,10 @@ def bloc_counts(
         return mapped(clean_symbol(member[field]), blocs)
 
     named = df.withColumn("_blocs", F.transform(F.coalesce(members, F.array()), bloc))
-    counts = {
-        name: F.size(F.filter(F.col("_blocs"), lambda b, wanted=wanted: b == wanted))
-        for wanted, name in columns.items()
-    }
-    return named.withColumns(counts).drop("_blocs")
+    def tally(wanted: str) -> Column:
+        return F.size(F.filter(F.col("_blocs"), lambda b: b == wanted))
+
+    return named.withColumns({name: tally(wanted) for wanted, name in columns.items()}).drop("_blocs")
 
 
 def sum_parts(df: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:

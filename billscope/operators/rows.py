@@ -25,7 +25,7 @@ def add_row_id(df: DataFrame, order: Sequence[str], name: str = "ID") -> DataFra
 
 
 def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    return df.dropna("any", subset=list(subset) if subset else None)
+    return df.dropna(subset=list(subset) if subset else None)
 
 
 def reject_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:

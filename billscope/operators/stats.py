@@ -18,7 +18,7 @@ def value_counts(
     df: DataFrame, column: str, count: str = "count", labels: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Occurrences per value, nulls left out, most frequent first."""
-    out = df.dropna("any", [column]).groupBy(column).agg(F.count(F.lit(1)).alias(count))
+    out = df.dropna(subset=[column]).groupBy(column).agg(F.count(F.lit(1)).alias(count))
     if labels:
         out = out.withColumn(column, mapped(F.col(column).cast("string"), labels))
     return out.orderBy(F.col(count).desc(), column)
@@ -31,7 +31,7 @@ def with_share(df: DataFrame, measure: str, share: str, scale: float = 100.0) ->
 
 
 def share_of_total(df: DataFrame, column: str, share: str = "share") -> DataFrame:
-    counts = df.dropna("any", [column]).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.dropna(subset=[column]).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
     return with_share(counts, "count", share)
 
 
@@ -49,7 +49,7 @@ def count_and_sum(
     count: str = "submitted", total: str = "approved",
 ) -> DataFrame:
     """Non-null count and number of true flags per group."""
-    return df.dropna("any", list(keys)).groupBy(*keys).agg(
+    return df.dropna(subset=list(keys)).groupBy(*keys).agg(
         F.count(counted).alias(count), F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias(total)
     )
 
@@ -75,7 +75,7 @@ def rate_two_level(
     counts: DataFrame, bloc: str, count: str = "submitted", total: str = "approved"
 ) -> DataFrame:
     """Group sums added up per bloc, then the percentage."""
-    summed = counts.dropna("any", [bloc]).groupBy(bloc).agg(
+    summed = counts.dropna(subset=[bloc]).groupBy(bloc).agg(
         F.sum(count).alias(count), F.sum(total).alias(total)
     )
     return summed.withColumn("rate", rate(total, count))
@@ -201,8 +201,8 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR and outlier count per group."""
-    marks = quantiles(df.dropna("any", [group]), [group], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    values = df.dropna("any", [group, column]).groupBy(group, column).agg(F.count(F.lit(1)).alias("_c"))
+    marks = quantiles(df.dropna(subset=[group]), [group], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    values = df.dropna(subset=[group, column]).groupBy(group, column).agg(F.count(F.lit(1)).alias("_c"))
     placed = attach(values, [group], marks, weights=marks.select(group, F.col("n").alias("_rows")))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     x = F.col(column)

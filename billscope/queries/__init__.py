@@ -1,13 +1,11 @@
 """Named queries on the driver tables, each with DuckDB SQL where SQL can say the same."""
 
 from billscope.queries import (  # noqa: F401
-
-
-
-
+    aggregates,
+    enrichment,
+    histories,
     rowwise,
-
+    scalars,
     sources,
-
 )
 from billscope.queries.registry import ORACLES, QUERIES  # noqa: F401
