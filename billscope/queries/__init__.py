@@ -7,5 +7,6 @@ from billscope.queries import (  # noqa: F401
     rowwise,
     scalars,
     sources,
+    textual,
 )
 from billscope.queries.registry import ORACLES, QUERIES  # noqa: F401
