@@ -4,6 +4,7 @@ from billscope.queries import (  # noqa: F401
     aggregates,
     enrichment,
     histories,
+    learning,
     rowwise,
     scalars,
     sources,

@@ -82,7 +82,7 @@ def c4_weighted_best_similarity(spark, sf_dir):
     )
     scored = embed.weighted_best_similarity(
         documents, "parts",
-        F.transform("parts", embed.letter_profile), F.transform("themes", embed.letter_profile),
+        F.transform("parts", lambda p: embed.letter_profile(p)), F.transform("themes", lambda t: embed.letter_profile(t)),
     )
     return scored.select("doc_id", F.round("similarity", 6).alias("similarity"))
 
