@@ -9,12 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANKS = r"(?U)^\s+|\s+$"
+# Every character that counts as white space.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, BLANKS, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def split_trim(text: Column, separators: str = "[,;]") -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from billscope.functions.vectors import squared_distance
 from billscope.operators.keyed import attach
-from billscope.operators.ordered import CHUNK, running_sums, with_chunks
+from billscope.operators.ordered import CHUNK, at_most, running_sums, with_chunks
 
 CLUSTER_LIMIT = 10_000
 
@@ -76,7 +76,7 @@ def nearest_centroid(
     The centroids (a checked number) travel as one array; no (row, centroid) pair leaves
     its row.
     """
-    if centroids.limit(limit + 1).count() > limit:
+    if not at_most(centroids, limit):
         raise ValueError(f"more than {limit} centroids")
     packed = centroids.agg(
         F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col(centroid).alias("v")))).alias("a")
@@ -108,7 +108,7 @@ def centroids_of(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     )
 
 
-def silhouette_1d(df: DataFrame, value: str, cluster: str) -> DataFrame:
+def silhouette_1d(df: DataFrame, value: str, cluster: str, chunks: int | None = None) -> DataFrame:
     """Exact mean silhouette (Euclidean) of one-dimensional points.
 
     Equal points are counted first. The mean distance to a cluster that lies wholly on
@@ -138,7 +138,7 @@ def silhouette_1d(df: DataFrame, value: str, cluster: str) -> DataFrame:
 
     nodes = probes.groupBy("c", "x").agg(F.sum(F.when(F.col("c") == F.col("own"), F.col("n")).otherwise(0)).alias("w"))
     nodes = running_sums(
-        with_chunks(nodes, ["x"]), ["c"], ["x"],
+        with_chunks(nodes, ["x"], chunks, df), ["c"], ["x"],
         {"nl": F.col("w"), "sl": F.col("w") * F.col("x")}, totals=True,
     ).drop(CHUNK)
     reach = (

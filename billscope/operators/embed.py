@@ -52,14 +52,21 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def letter_profile(text: Column, letters: str = LETTERS) -> Column:
-    """How often each letter occurs: a cheap stand-in vector for short texts."""
-    lowered = F.lower(text)
-    whole = F.length(lowered)
+    """How often each letter occurs in a lower-case text: a cheap stand-in vector.
+
+    The letters take one byte each, so the bytes lost by removing one are its count.
+    """
+    whole = F.octet_length(text)
     return F.array(*[
-        (whole - F.length(F.replace(lowered, F.lit(c), F.lit("")))).cast("double") for c in letters
+        (whole - F.octet_length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in letters
     ])
 
 
+def letter_profiles(texts: Column) -> Column:
+    """Profiles of an array of texts, case ignored."""
+    return F.transform(F.transform(texts, lambda t: F.lower(t)), lambda t: letter_profile(t))
+
+
 def similarity_matrix(left: Column, right: Column) -> Column:
     """Cosine of every left vector with every right vector, as one array per left vector."""
     return F.transform(left, lambda a: F.transform(right, lambda b: cosine(a, b)))

@@ -12,7 +12,7 @@ from billscope.operators.keyed import attach, attach_aggregates, small_side
 from billscope.operators.lookup import mapped
 from billscope.operators.ordered import (
     CHUNK,
-    _join_per_chunk,
+    join_per_chunk,
     next_value,
     previous_value,
     row_numbers,
@@ -32,6 +32,7 @@ def open_close_periods(
     as_of: Column,
     start: str = "data_entrada",
     end: str = "data_saida",
+    chunks: int | None = None,
 ) -> DataFrame:
     """Periods per key: closed + opens -> open, open + closes -> period; still open -> as_of.
 
@@ -42,41 +43,49 @@ def open_close_periods(
     """
     on, off = F.coalesce(opens, F.lit(False)), F.coalesce(closes, F.lit(False))
     marks = events.select(key, *order, day.alias("_day"), on.alias("_on"), off.alias("_off"))
-    marks = with_chunks(marks.where(F.col("_on") | F.col("_off")), order)
+    marks = with_chunks(marks.where(F.col("_on") | F.col("_off")), order, chunks, events)
+    chunked = CHUNK in marks.columns
     sets = F.when(~F.col("_off"), 1).when(~F.col("_on"), 0)
     toggles = F.when(F.col("_on") & F.col("_off"), 1).otherwise(0)
 
-    in_chunk = Window.partitionBy(key, CHUNK).orderBy(*order)
+    in_chunk = Window.partitionBy(key, *[CHUNK] * chunked).orderBy(*order)
     so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marks = marks.withColumn("_flips", F.sum(toggles).over(so_far))
     marks = marks.withColumn(
         "_base", F.last(F.when(sets.isNotNull(), (sets + F.col("_flips")) % 2), True).over(so_far)
     )
+    if chunked:
+        marks = join_per_chunk(marks, _states_before_chunks(marks, key, order), [key])
+    else:
+        marks = marks.withColumn("_carry", F.lit(0))
+    marks = marks.withColumn("_state", (F.coalesce("_base", "_carry") + F.col("_flips")) % 2)
+    marks = marks.withColumn("_before", F.coalesce(F.lag("_state").over(in_chunk), "_carry"))
+    changes = marks.where(F.col("_state") != F.col("_before")).select(
+        key, *order, "_day", "_state", *[CHUNK] * chunked
+    )
+    closed = next_value(changes, [key], order, F.col("_day"), "_next")
+    return closed.where(F.col("_state") == 1).select(
+        key, F.col("_day").alias(start), F.coalesce("_next", as_of).alias(end)
+    )
+
 
+def _states_before_chunks(marks: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """State of each key when a chunk begins, from one (base, flips) pair per chunk."""
     ends = marks.groupBy(key, CHUNK).agg(
         F.max_by(F.struct("_base", "_flips"), F.struct(*order)).alias("_e")
     )
     whole_set = F.when(F.col("_e._base").isNotNull(), (F.col("_e._base") + F.col("_e._flips")) % 2)
     whole_flip = F.when(F.col("_e._base").isNull(), F.col("_e._flips")).otherwise(0)
     by_chunk = Window.partitionBy(key).orderBy(CHUNK)
-    chunks_so_far = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = ends.withColumn("_cf", F.sum(whole_flip).over(chunks_so_far)).withColumn(
-        "_cb", F.last(F.when(whole_set.isNotNull(), (whole_set + F.col("_cf")) % 2), True).over(chunks_so_far)
+    so_far = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("_cf", F.sum(whole_flip).over(so_far)).withColumn(
+        "_cb", F.last(F.when(whole_set.isNotNull(), (whole_set + F.col("_cf")) % 2), True).over(so_far)
     )
     after = (F.coalesce("_cb", F.lit(0)) + F.col("_cf")) % 2
-    carried = ends.withColumn("_after", after).select(
+    return ends.withColumn("_after", after).select(
         key, CHUNK, F.coalesce(F.lag("_after").over(by_chunk), F.lit(0)).alias("_carry")
     )
 
-    marks = _join_per_chunk(marks, carried, [key])
-    marks = marks.withColumn("_state", (F.coalesce("_base", "_carry") + F.col("_flips")) % 2)
-    marks = marks.withColumn("_before", F.coalesce(F.lag("_state").over(in_chunk), "_carry"))
-    changes = marks.where(F.col("_state") != F.col("_before")).select(key, *order, "_day", "_state", CHUNK)
-    closed = next_value(changes, [key], order, F.col("_day"), "_next")
-    return closed.where(F.col("_state") == 1).select(
-        key, F.col("_day").alias(start), F.coalesce("_next", as_of).alias(end)
-    )
-
 
 def value_runs(
     events: DataFrame,
@@ -87,14 +96,16 @@ def value_runs(
     as_of: Column,
     start: str = "data_entrada_partido",
     end: str = "data_saida_partido",
+    chunks: int | None = None,
 ) -> DataFrame:
     """Maximal runs of an equal value: (value, start, start of the next run, last -> as_of).
 
     A null run ends the one before it and is not given out itself.
     """
-    rows = with_chunks(events.select(key, *order, day.alias("_day"), F.col(value).alias("_v")), order)
+    rows = events.select(key, *order, day.alias("_day"), F.col(value).alias("_v"))
+    rows = with_chunks(rows, order, chunks, events)
     rows = previous_value(rows, [key], order, F.col("_v"), "_prev")
-    changes = rows.where(~F.col("_v").eqNullSafe(F.col("_prev"))).select(key, *order, "_day", "_v", CHUNK)
+    changes = rows.where(~F.col("_v").eqNullSafe(F.col("_prev"))).drop("_prev")
     changes = next_value(changes, [key], order, F.col("_day"), "_next")
     return changes.where(F.col("_v").isNotNull()).select(
         key, F.col("_v").alias(value), F.col("_day").alias(start), F.coalesce("_next", as_of).alias(end)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from billscope.operators.ordered import at_most
+
 HOT_SHARE = 1000
 SPREAD = 4096
 BROADCAST_ROWS = 100_000
@@ -15,7 +17,16 @@ BROADCAST_ROWS = 100_000
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when a count shows it is small; otherwise Spark picks the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if at_most(df, rows) else df
+
+
+def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a scan that has fewer partitions than there are cores.
+
+    Meant before work that is heavy per row; a scan with enough partitions stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _match(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> Column:
@@ -42,25 +53,31 @@ def attach(
     values: DataFrame,
     weights: DataFrame | None = None,
     hot_share: int = HOT_SHARE,
+    check: bool = True,
 ) -> DataFrame:
     """Left-join one row of ``values`` per key to the rows of ``df``.
 
-    A key with more than 1/``hot_share`` of the rows is hot; there are fewer than
-    ``hot_share`` such keys whatever the data, so their values are broadcast. Hot rows
-    then pass the second join under a spread-out salt that matches nothing, cold rows
-    meet their value in an ordinary shuffle join. ``weights`` (keys, ``_rows``) defaults
-    to the row counts of ``df``.
+    Values that a check shows to be few are broadcast: a table of its own when it is
+    short, aggregates of ``df`` itself (they carry ``_rows``, the row count per key) when
+    ``df`` is. Otherwise, or without ``check``, keys with more than 1/``hot_share`` of the
+    rows are hot; there are fewer than ``hot_share`` of them whatever the data, so their
+    values are broadcast. Hot rows then pass the second join under a spread-out salt that
+    matches nothing, and cold rows meet their value in an ordinary shuffle join.
+    ``weights`` (keys, ``_rows``) defaults to the row counts of ``df``.
     """
     names = [c for c in values.columns if c not in keys and c != "_rows"]
-    if "_rows" in values.columns:
+    counted = "_rows" in values.columns
+    drop_keys = [f"_k{i}" for i in range(len(keys))]
+    if check and at_most(df if counted else values, BROADCAST_ROWS):
+        side = _keyed(values, keys, names)
+        return df.join(F.broadcast(side), _match(df, side, keys), "left").drop(*drop_keys)
+    if counted:
         weighed = values
     else:
         if weights is None:
             weights = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         weighed = _keyed(weights, keys, ["_rows"])
-        weighed = values.join(weighed, _match(values, weighed, keys), "inner").drop(
-            *[f"_k{i}" for i in range(len(keys))]
-        )
+        weighed = values.join(weighed, _match(values, weighed, keys), "inner").drop(*drop_keys)
     total = weighed.agg(F.sum("_rows").alias("t")).scalar()
     weighed = weighed.withColumn("_hot", F.col("_rows") * hot_share > total)
     box = F.struct(*names)
@@ -72,13 +89,11 @@ def attach(
         box.alias("_cv"),
         F.lit(-1).alias("_s"),
     )
-    drop_keys = [f"_k{i}" for i in range(len(keys))]
     out = df.join(F.broadcast(hot), _match(df, hot, keys), "left").drop(*drop_keys)
     out = out.withColumn("_salt", F.when(F.col("_hv").isNotNull(), _spread(df)).otherwise(F.lit(-1)))
     out = out.join(cold, _match(out, cold, keys) & (out["_salt"] == cold["_s"]), "left")
     picked = F.coalesce("_hv", "_cv")
-    return out.select(*[df.columns[i] for i in range(len(df.columns))],
-                      *[picked[n].alias(n) for n in names])
+    return out.select(*df.columns, *[picked[n].alias(n) for n in names])
 
 
 def _keyed(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -86,8 +101,8 @@ def _keyed(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFram
 
 
 def attach_aggregates(
-    df: DataFrame, keys: Sequence[str], *aggregates: Column, hot_share: int = HOT_SHARE
+    df: DataFrame, keys: Sequence[str], *aggregates: Column, hot_share: int = HOT_SHARE, check: bool = True
 ) -> DataFrame:
     """Add aggregates of the row's own key to every row (a window without its hot task)."""
     values = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
-    return attach(df, keys, values, hot_share=hot_share)
+    return attach(df, keys, values, hot_share=hot_share, check=check)

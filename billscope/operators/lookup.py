@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billscope.operators.keyed import small_side
+from billscope.operators.ordered import at_most
 
 MAP_LIMIT = 1000
 
@@ -97,7 +98,7 @@ def keyword_category_from(
     The sorted rules travel as one array, so each row is searched in place and no pair
     of row and rule is ever emitted.
     """
-    if rules.limit(limit + 1).count() > limit:
+    if not at_most(rules, limit):
         raise ValueError(f"more than {limit} keyword rules")
     ordered = rules.agg(
         F.sort_array(F.collect_list(F.struct("priority", F.lower("keyword").alias("keyword"), "category"))).alias("r")

@@ -1,6 +1,7 @@
 """Ordered work (ranks, running sums, neighbours, quantiles) that no single key can swamp.
 
-A window over one hot key would run in one task. Here every key is first cut into
+A window over one hot key would run in one task, which is fine for a table that a check
+shows to be small. In any other table every key is first cut into
 chunks of consecutive rows at splitter values drawn from the data, the window runs
 inside (key, chunk), and what crosses a chunk border is carried by a table with one
 row per (key, chunk).
@@ -13,50 +14,90 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNKS = 64
+LEAST_CHUNKS = 64
+MOST_CHUNKS = 8192
 CHUNK = "_chunk"
+ONE_TASK_ROWS = 1_000_000
 
 
-def splitters(df: DataFrame, order: Column, chunks: int = CHUNKS) -> DataFrame:
-    """One row: at most ``chunks - 1`` distinct order values, sorted.
+def chunk_count(df: DataFrame) -> int:
+    """As many chunks as the session has shuffle partitions, within bounds."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_CHUNKS, max(LEAST_CHUNKS, partitions))
 
-    Each hash class gives its value of greatest hash, so the values are a fixed random
-    draw over the distinct values and the aggregate combines on the map side.
+
+def splitters(df: DataFrame, order: Sequence[str], chunks: int) -> DataFrame:
+    """One row: at most ``chunks - 1`` rows' order values, sorted, and their leading values.
+
+    Each hash class gives its row of greatest hash, a fixed random draw. The draw only
+    aggregates numbers; a second look at the table fetches the values behind them.
     """
-    return (
-        df.select(order.alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy(F.pmod(F.xxhash64("v"), F.lit(chunks - 1)).alias("h"))
-        .agg(F.max_by("v", F.xxhash64("v")).alias("v"))
-        .agg(F.sort_array(F.collect_list("v")).alias("bounds"))
+    rows = df.select(*order).withColumn("_h", F.xxhash64(*order))
+    rows = rows.withColumn("_class", F.pmod("_h", F.lit(chunks - 1)).cast("int"))
+    every_class = df.sparkSession.range(chunks - 1).select(
+        F.col("id").cast("int").alias("_class"), F.lit(None).cast("long").alias("_h")
+    )
+    drawn = (
+        rows.select("_class", "_h")
+        .unionByName(every_class)
+        .groupBy("_class")
+        .agg(F.max("_h").alias("h"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_class", "h"))), lambda r: r["h"]).alias("all"))
+        .scalar()
+    )
+    picked = rows.withColumn("_drawn", drawn).where(F.get("_drawn", F.col("_class")) == F.col("_h"))
+    bounds = F.sort_array(F.collect_set(F.struct(*order)))
+    return picked.agg(bounds.alias("rows")).select(
+        F.struct(F.transform("rows", lambda r: r[order[0]]).alias("leads"), "rows").alias("bounds")
     )
 
 
-def chunk_number(order: Column, bounds: Column, chunks: int = CHUNKS) -> Column:
-    """Position of a value among the splitters: binary search as nested conditions."""
+def _lead_place(lead: Column, leads: Column, chunks: int) -> Column:
+    """How many splitters have a smaller leading value: log2(chunks) plain comparisons."""
+    jumps = [1 << i for i in reversed(range((chunks - 1).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(j) for j in jumps]),
+        F.lit(0),
+        lambda at, jump: F.when(F.try_element_at(leads, at + jump) < lead, at + jump).otherwise(at),
+    )
+
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        goes_left = F.coalesce(order <= F.get(bounds, F.lit(middle)), F.lit(True))
-        return F.when(goes_left, search(low, middle)).otherwise(search(middle + 1, high))
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether the table has no more rows than that.
 
-    return F.when(order.isNull(), F.lit(0)).otherwise(search(0, chunks - 1))
+    Spark reads partition after partition only until the limit is passed.
+    """
+    return not df.select(F.lit(1)).offset(rows).limit(1).collect()
 
 
-def with_chunks(df: DataFrame, order: Sequence[str], chunks: int = CHUNKS) -> DataFrame:
-    """Add the chunk number of each row under the given ascending order columns."""
-    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    bounds = splitters(df, key, chunks).scalar()
-    return (
-        df.withColumn("_bounds", bounds)
-        .withColumn(CHUNK, chunk_number(key, F.col("_bounds"), chunks))
-        .drop("_bounds")
-    )
+def with_chunks(
+    df: DataFrame, order: Sequence[str], chunks: int | None = None, source: DataFrame | None = None
+) -> DataFrame:
+    """Add the number of the chunk a row falls into under the given ascending order.
 
+    The leading column decides; only rows that share a splitter's leading value look at
+    the other columns, so even a heavily repeated leading value is cut up.
 
-def _join_per_chunk(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    Without an explicit number of chunks, a table that fits one task is left alone. The
+    check looks at ``source`` if given: a table with no fewer rows that is cheaper to read.
+    """
+    if chunks is None:
+        if at_most(df if source is None else source, ONE_TASK_ROWS):
+            return df
+        chunks = chunk_count(df)
+    out = df.withColumn("_bounds", splitters(df, order, chunks).scalar())
+    out = out.withColumn("_leads", F.col("_bounds.leads"))
+    out = out.withColumn(CHUNK, _lead_place(F.col(order[0]), F.col("_leads"), chunks))
+    if len(order) > 1:
+        lead, row = F.col(order[0]), F.struct(*order)
+        tied = F.get("_leads", F.col(CHUNK)) == lead
+        below = F.size(F.filter(F.col("_bounds.rows"), lambda b: (b[order[0]] == lead) & (b < row)))
+        out = out.withColumn(CHUNK, F.when(tied, F.col(CHUNK) + below).otherwise(F.col(CHUNK)))
+    return out.drop("_bounds", "_leads")
+
+
+def join_per_chunk(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of one carried row per (key, chunk)."""
     on = [*keys, CHUNK]
     side = side.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)],
                        *[c for c in side.columns if c not in on])
@@ -74,58 +115,53 @@ def running_sums(
     sums: Mapping[str, Column],
     totals: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums per key; with ``totals`` also ``<name>_total`` per key.
-
-    ``df`` must carry the chunk column.
-    """
-    per_chunk = df.groupBy(*keys, CHUNK).agg(
-        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
-    )
+    """Add inclusive running sums per key; with ``totals`` also ``<name>_total`` per key."""
+    chunked = CHUNK in df.columns
+    cut = [*keys, CHUNK] if chunked else list(keys)
+    local = Window.partitionBy(*cut).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not chunked:
+        added = {n: F.sum(c).over(local) for n, c in sums.items()}
+        if totals:
+            added |= {f"{n}_total": F.sum(c).over(Window.partitionBy(*keys)) for n, c in sums.items()}
+        return df.withColumns(added)
+    per_chunk = df.groupBy(*cut).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
-        *keys,
-        CHUNK,
+        *cut,
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_t_{n}").over(Window.partitionBy(*keys)).alias(f"{n}_total")
-          for n in sums if totals],
+        *[F.sum(f"_t_{n}").over(Window.partitionBy(*keys)).alias(f"{n}_total") for n in sums if totals],
     )
-    local = (
-        Window.partitionBy(*keys, CHUNK)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in sums.items()})
+    out = join_per_chunk(out, carried, keys)
+    return out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_l_{n}") for n in sums}).drop(
+        *[f"_o_{n}" for n in sums], *[f"_l_{n}" for n in sums]
     )
-    out = df
-    for n, c in sums.items():
-        out = out.withColumn(f"_l_{n}", F.sum(c).over(local))
-    out = _join_per_chunk(out, carried, keys)
-    for n in sums:
-        out = out.withColumn(n, F.col(f"_o_{n}") + F.col(f"_l_{n}")).drop(f"_o_{n}", f"_l_{n}")
-    return out
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunks: int = CHUNKS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunks: int | None = None
 ) -> DataFrame:
     """1-based position of each row within its key under an ascending total order."""
     chunked = with_chunks(df, order, chunks)
     return running_sums(chunked, keys, order, {name: F.lit(1).cast("long")}).drop(CHUNK)
 
 
-def _carry(df, keys, order, value, name, back):
+def _neighbour(df, keys, order, value, name, back):
     """Value of the row before (``back``) or after each row of the key."""
+    step = F.lag if back else F.lead
+    if CHUNK not in df.columns:
+        return df.withColumn(name, step(value).over(Window.partitionBy(*keys).orderBy(*order)))
     boxed = F.struct(value.alias("v"))
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     place = F.struct(*order)
     edge = F.max_by(boxed, place) if back else F.min_by(boxed, place)
     over = Window.partitionBy(*keys).orderBy(CHUNK)
-    step = F.lag if back else F.lead
     carried = (
         df.groupBy(*keys, CHUNK)
         .agg(edge.alias("_edge"))
         .select(*keys, CHUNK, step("_edge").over(over).alias("_edge"))
     )
-    out = df.withColumn("_near", step(boxed).over(local))
-    out = _join_per_chunk(out, carried, keys)
+    out = join_per_chunk(df.withColumn("_near", step(boxed).over(local)), carried, keys)
     return out.withColumn(name, F.coalesce("_near", "_edge")["v"]).drop("_near", "_edge")
 
 
@@ -133,14 +169,14 @@ def previous_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str
 ) -> DataFrame:
     """Lag by one row within the key, across chunk borders."""
-    return _carry(df, keys, order, value, name, back=True)
+    return _neighbour(df, keys, order, value, name, back=True)
 
 
 def next_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str
 ) -> DataFrame:
     """Lead by one row within the key, across chunk borders."""
-    return _carry(df, keys, order, value, name, back=False)
+    return _neighbour(df, keys, order, value, name, back=False)
 
 
 def quantiles(
@@ -148,7 +184,8 @@ def quantiles(
     groups: Sequence[str],
     value: str,
     shares: Mapping[str, float],
-    chunks: int = CHUNKS,
+    chunks: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, nulls left out.
 
@@ -160,9 +197,8 @@ def quantiles(
         .groupBy(*groups, F.col(value).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_sums(
-        with_chunks(counts, ["_x"], chunks), groups, ["_x"], {"_c": F.col("_n")}, totals=True
-    )
+    cut = with_chunks(counts, ["_x"], chunks, df if source is None else source)
+    ranked = running_sums(cut, groups, ["_x"], {"_c": F.col("_n")}, totals=True)
     picks = []
     for name, share in shares.items():
         at = (F.col("_c_total") - 1) * F.lit(float(share))

@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 
 from billscope.operators.keyed import attach
 from billscope.operators.neighbours import nearest_vectors
-from billscope.operators.ordered import CHUNK, row_numbers, running_sums
+from billscope.operators.ordered import CHUNK, at_most, row_numbers, running_sums
+
+SHORT_LIST = 10_000
 
 
 def code_table(df: DataFrame, column: str) -> DataFrame:
-    """Category and its 0-based code in code-point order."""
-    values = df.select(F.col(column).cast("string").alias("category")).distinct()
+    """Category and its 0-based code in code-point order.
+
+    A checked, short list of categories is sorted as one array; a long one is ranked in
+    chunks.
+    """
+    values = df.select(F.col(column).cast("string").alias("category")).where(
+        F.col("category").isNotNull()
+    ).distinct()
+    if at_most(values, SHORT_LIST):
+        listed = values.agg(F.sort_array(F.collect_list("category")).alias("all"))
+        return listed.select(F.posexplode("all").alias("code", "category")).select("category", "code")
     ranked = row_numbers(values, [], ["category"], "_rank")
     return ranked.select("category", (F.col("_rank") - 1).cast("int").alias("code"))
 

@@ -110,7 +110,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
-    quartiles = quantiles(tall, ["column_name"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+    quartiles = quantiles(tall, ["column_name"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, source=tall).drop("n")
     return plain.join(quartiles, "column_name", "left")
 
 

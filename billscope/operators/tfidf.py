@@ -62,7 +62,7 @@ def tfidf(
         (F.col("_rows") >= min_df) & (F.col("_rows") <= F.lit(float(max_df)) * F.col("_n"))
     )
     kept = kept.select("term", "_rows", (F.log((F.col("_n") + 1.0) / (F.col("_rows") + 1.0)) + 1.0).alias("idf"))
-    weighed = attach(counts, ["term"], kept).where(F.col("idf").isNotNull())
+    weighed = attach(counts, ["term"], kept, check=False).where(F.col("idf").isNotNull())
     weighed = weighed.withColumn("_w", F.col("tf") * F.col("idf"))
     size = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return weighed.select(doc, "term", (F.col("_w") / size).alias("weight"))

@@ -8,7 +8,7 @@ from billscope.functions import text
 from billscope.operators import shares, stats
 from billscope.operators.intervals import bloc_counts, collect_members, sum_parts
 from billscope.operators.lookup import mapped
-from billscope.queries.registry import query, table
+from billscope.queries.registry import query, table, texts
 from billscope.queries.rowwise import placed_orders
 
 
@@ -32,11 +32,11 @@ def a2_share_of_total(spark, sf_dir):
 @query("a3_multivalue_counts", r"""
 select item, count(*) as "count" from (
   select unnest(list_transform(string_split_regex(text, '[,;]'),
-         lambda x: regexp_replace(x, '^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$', '', 'g'))) as item from documents
+         lambda x: regexp_replace(x, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g'))) as item from documents
 ) where item <> '' group by item
 """)
 def a3_multivalue_counts(spark, sf_dir):
-    return stats.list_counts(table(spark, sf_dir, "documents"), text.split_trim(F.col("text")), "item")
+    return stats.list_counts(texts(spark, sf_dir), text.split_trim(F.col("text")), "item")
 
 
 @query("u3_flatten", """

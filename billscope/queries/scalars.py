@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from billscope.functions import dates, text
-from billscope.queries.registry import query, table
+from billscope.queries.registry import query, table, texts
 
-STRIP_SQL = r"regexp_replace(x, '^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$', '', 'g')"
+STRIP_SQL = r"regexp_replace(x, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')"
 PARTS_SQL = f"list_filter(list_transform(string_split_regex(text, '[,;]'), lambda x: {STRIP_SQL}), lambda x: x <> '')"
 
 
@@ -16,7 +16,7 @@ select doc_id, len(parts)::int as n_parts, array_to_string(parts, '|') as parts
 """)
 def f1_split_trim(spark, sf_dir):
     parts = text.split_trim(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts")).select(
+    return texts(spark, sf_dir).select("doc_id", parts.alias("parts")).select(
         "doc_id", F.size("parts").alias("n_parts"), F.array_join("parts", "|").alias("parts")
     )
 
@@ -27,7 +27,7 @@ from (select doc_id, {PARTS_SQL.replace("text,", "case when doc_id % 5 = 0 then
 """)
 def f2_first_or_default(spark, sf_dir):
     source = F.when(F.col("doc_id") % 5 == 0, F.lit(" ; ")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", text.first_or(text.split_trim(source)).alias("first_part")
     )
 
@@ -111,7 +111,7 @@ select doc_id, contains(lower(text), 'éle') or contains(lower(text), 'tion de')
   or contains(lower(text), '(x)') as hit from documents
 """)
 def f6_any_term_flag(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.any_term(F.col("text"), TERMS).alias("hit"))
+    return texts(spark, sf_dir).select("doc_id", text.any_term(F.col("text"), TERMS).alias("hit"))
 
 
 @query("f22_lower_match", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from billscope.functions import text, vectors
 from billscope.operators import clusters, embed, tfidf
-from billscope.queries.registry import query, table
+from billscope.queries.registry import query, table, texts
 from billscope.queries.scalars import PARTS_SQL
 
 # Fixed value: a short stop-word list that the SQL can hold too.
@@ -29,7 +29,7 @@ kept as (
 select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w
 """)
 def c1_tfidf(spark, sf_dir):
-    out = tfidf.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", STOP_WORDS)
+    out = tfidf.tfidf(texts(spark, sf_dir), "doc_id", "text", STOP_WORDS)
     return out.withColumn("weight", F.round("weight", 6))
 
 
@@ -37,14 +37,14 @@ def c1_tfidf(spark, sf_dir):
 with {TERMS_SQL} select term, sum(tf)::bigint as n from counted group by 1
 """)
 def c2_stop_words(spark, sf_dir):
-    terms = table(spark, sf_dir, "documents").select(F.explode(tfidf.tokens(F.col("text"))).alias("term"))
+    terms = texts(spark, sf_dir).select(F.explode(tfidf.tokens(F.col("text"))).alias("term"))
     words = spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
     return tfidf.without_words(terms, "term", words).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c3_encode")
 def c3_encode(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = texts(spark, sf_dir)
     return embed.encode(documents, "text", size=64).select("doc_id", "vector")
 
 
@@ -77,12 +77,12 @@ def c4_weighted_best_similarity(spark, sf_dir):
     themes = F.when(
         F.col("doc_id") % 10 != 0, F.array(F.col("source"), F.col("lang"), F.lit("legislation"), F.lit("health and economy"))
     ).otherwise(F.array().cast("array<string>"))
-    documents = table(spark, sf_dir, "documents").select(
+    documents = texts(spark, sf_dir, "source", "lang").select(
         "doc_id", text.split_trim(F.col("text")).alias("parts"), themes.alias("themes")
     )
     scored = embed.weighted_best_similarity(
         documents, "parts",
-        F.transform("parts", lambda p: embed.letter_profile(p)), F.transform("themes", lambda t: embed.letter_profile(t)),
+        embed.letter_profiles(F.col("parts")), embed.letter_profiles(F.col("themes")),
     )
     return scored.select("doc_id", F.round("similarity", 6).alias("similarity"))
 
@@ -93,7 +93,7 @@ w as (select doc_id, length(part)::double / sum(length(part)) over (partition by
 select doc_id, count(*) as n_parts, round(max(w), 8) as heaviest, round(sum(w), 6) as whole from w group by 1
 """)
 def f19_length_weights(spark, sf_dir):
-    parts = table(spark, sf_dir, "documents").select("doc_id", text.split_trim(F.col("text")).alias("parts"))
+    parts = texts(spark, sf_dir).select("doc_id", text.split_trim(F.col("text")).alias("parts"))
     weights = parts.where(F.size("parts") > 0).withColumn("w", vectors.length_weights(F.col("parts")))
     return weights.select(
         "doc_id", F.size("w").cast("long").alias("n_parts"), F.round(F.array_max("w"), 8).alias("heaviest"),
