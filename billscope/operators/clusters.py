@@ -138,7 +138,7 @@ def silhouette_1d(df: DataFrame, value: str, cluster: str, chunks: int | None =
 
     nodes = probes.groupBy("c", "x").agg(F.sum(F.when(F.col("c") == F.col("own"), F.col("n")).otherwise(0)).alias("w"))
     nodes = running_sums(
-        with_chunks(nodes, ["x"], chunks, df), ["c"], ["x"],
+        with_chunks(nodes, ["x"], chunks, df, keep=True), ["c"], ["x"],
         {"nl": F.col("w"), "sl": F.col("w") * F.col("x")}, totals=True,
     ).drop(CHUNK)
     reach = (

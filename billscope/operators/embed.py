@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from billscope.functions.vectors import cosine, dot, length_weights, unit
+from billscope.functions.vectors import cosine, dot, length_weights, norm, unit
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -80,8 +80,10 @@ def weighted_best_similarity(
     Everything stays inside the row, so no part or theme is ever shuffled. A row without
     parts or themes gets 0 and has no effect on other rows.
     """
-    out = df.withColumn("_pv", F.transform(part_vectors, unit)).withColumn("_tv", F.transform(theme_vectors, unit))
-    best = F.transform("_pv", lambda p: F.array_max(F.transform("_tv", lambda t: dot(p, t))))
+    out = df.withColumn("_pv", part_vectors).withColumn("_tv", F.transform(theme_vectors, lambda t: unit(t)))
+    best = F.transform("_pv", lambda p: F.coalesce(
+        F.try_divide(F.array_max(F.transform("_tv", lambda t: dot(p, t))), norm(p)), F.lit(0.0)
+    ))
     weighted = F.zip_with(best, F.col("_weights"), lambda s, w: s * w)
     score = F.aggregate(weighted, F.lit(0.0), lambda a, b: a + b)
     empty = (F.coalesce(F.size("_pv"), F.lit(0)) <= 0) | (F.coalesce(F.size("_tv"), F.lit(0)) <= 0)

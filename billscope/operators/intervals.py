@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billscope.functions.text import clean_symbol
-from billscope.operators.keyed import attach, attach_aggregates, small_side
+from billscope.operators.keyed import attach_aggregates, small_side
 from billscope.operators.lookup import mapped
 from billscope.operators.ordered import (
     CHUNK,
@@ -199,11 +200,16 @@ def collect_members(
     """Array of structs per key, in parts of about ``part_rows`` members.
 
     An ordinary key gives one row with ``part`` 0; a key with more members than fit
-    comfortably in one cell gives several, and nothing is dropped.
+    comfortably in one cell gives several, and nothing is dropped. Only those large keys
+    are looked up.
     """
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)
+    large = small_side(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n"))
     rows = df.select(*keys, members.alias("_m"), F.xxhash64(spread).alias("_h"))
-    rows = attach_aggregates(rows, keys, F.count(F.lit(1)).alias("_n"))
-    part = F.pmod(F.col("_h"), F.ceil(F.col("_n") / F.lit(part_rows))).cast("int")
+    same = [rows[k].eqNullSafe(large[f"_k{i}"]) for i, k in enumerate(keys)]
+    rows = rows.join(large, reduce(lambda a, b: a & b, same), "left")
+    parts = F.coalesce(F.ceil(F.col("_n") / F.lit(part_rows)), F.lit(1))
+    part = F.pmod(F.col("_h"), parts).cast("int")
     return rows.groupBy(*keys, part.alias("part")).agg(F.sort_array(F.collect_list("_m")).alias(name))
 
 

@@ -54,6 +54,7 @@ def attach(
     weights: DataFrame | None = None,
     hot_share: int = HOT_SHARE,
     check: bool = True,
+    hot_when: Column | None = None,
 ) -> DataFrame:
     """Left-join one row of ``values`` per key to the rows of ``df``.
 
@@ -63,7 +64,8 @@ def attach(
     rows are hot; there are fewer than ``hot_share`` of them whatever the data, so their
     values are broadcast. Hot rows then pass the second join under a spread-out salt that
     matches nothing, and cold rows meet their value in an ordinary shuffle join.
-    ``weights`` (keys, ``_rows``) defaults to the row counts of ``df``.
+    ``weights`` (keys, ``_rows``) defaults to the row counts of ``df``; ``hot_when`` is
+    another bounded test for hot keys, where one is known.
     """
     names = [c for c in values.columns if c not in keys and c != "_rows"]
     counted = "_rows" in values.columns
@@ -78,8 +80,9 @@ def attach(
             weights = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         weighed = _keyed(weights, keys, ["_rows"])
         weighed = values.join(weighed, _match(values, weighed, keys), "inner").drop(*drop_keys)
-    total = weighed.agg(F.sum("_rows").alias("t")).scalar()
-    weighed = weighed.withColumn("_hot", F.col("_rows") * hot_share > total)
+    if hot_when is None:
+        hot_when = F.col("_rows") * hot_share > weighed.agg(F.sum("_rows").alias("t")).scalar()
+    weighed = weighed.withColumn("_hot", hot_when)
     box = F.struct(*names)
     hot = weighed.where("_hot").select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], box.alias("_hv")

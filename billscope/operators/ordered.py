@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from billscope.shared import settle
+
 LEAST_CHUNKS = 64
 MOST_CHUNKS = 8192
 CHUNK = "_chunk"
@@ -71,7 +73,11 @@ def at_most(df: DataFrame, rows: int) -> bool:
 
 
 def with_chunks(
-    df: DataFrame, order: Sequence[str], chunks: int | None = None, source: DataFrame | None = None
+    df: DataFrame,
+    order: Sequence[str],
+    chunks: int | None = None,
+    source: DataFrame | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Add the number of the chunk a row falls into under the given ascending order.
 
@@ -80,11 +86,14 @@ def with_chunks(
 
     Without an explicit number of chunks, a table that fits one task is left alone. The
     check looks at ``source`` if given: a table with no fewer rows that is cheaper to read.
+    Chunking reads its input several times; ``keep`` writes a costly input down first.
     """
     if chunks is None:
         if at_most(df if source is None else source, ONE_TASK_ROWS):
             return df
         chunks = chunk_count(df)
+    if keep:
+        df = settle(df)
     out = df.withColumn("_bounds", splitters(df, order, chunks).scalar())
     out = out.withColumn("_leads", F.col("_bounds.leads"))
     out = out.withColumn(CHUNK, _lead_place(F.col(order[0]), F.col("_leads"), chunks))
@@ -197,7 +206,7 @@ def quantiles(
         .groupBy(*groups, F.col(value).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cut = with_chunks(counts, ["_x"], chunks, df if source is None else source)
+    cut = with_chunks(counts, ["_x"], chunks, df if source is None else source, keep=True)
     ranked = running_sums(cut, groups, ["_x"], {"_c": F.col("_n")}, totals=True)
     picks = []
     for name, share in shares.items():

@@ -52,17 +52,19 @@ def tfidf(
     """tf * (ln((1+n)/(1+df)) + 1), each document scaled to length one.
 
     Terms in fewer than ``min_df`` documents or more than ``max_df`` of them are left
-    out. The idf of a term that most documents share comes by broadcast, the long tail
-    by a shuffle join, so no term gathers its rows in one task.
+    out. Terms in more than a hundredth of the documents are at most a hundred times the
+    terms of one document; their idf comes by broadcast. The long tail takes a shuffle
+    join, so no term gathers its rows in one task.
     """
     counts = term_counts(df, doc, text, words)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_rows"))
+    frequency = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("_rows"))
     kept = frequency.withColumn("_n", n).where(
         (F.col("_rows") >= min_df) & (F.col("_rows") <= F.lit(float(max_df)) * F.col("_n"))
     )
-    kept = kept.select("term", "_rows", (F.log((F.col("_n") + 1.0) / (F.col("_rows") + 1.0)) + 1.0).alias("idf"))
-    weighed = attach(counts, ["term"], kept, check=False).where(F.col("idf").isNotNull())
+    kept = kept.select("term", "_rows", (F.col("_n") / 100).alias("_common"), (F.log((F.col("_n") + 1.0) / (F.col("_rows") + 1.0)) + 1.0).alias("idf"))
+    common = F.col("_rows") > F.col("_common")
+    weighed = attach(counts, ["term"], kept, check=False, hot_when=common).where(F.col("idf").isNotNull()).drop("_common")
     weighed = weighed.withColumn("_w", F.col("tf") * F.col("idf"))
     size = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return weighed.select(doc, "term", (F.col("_w") / size).alias("weight"))

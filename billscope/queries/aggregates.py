@@ -8,7 +8,7 @@ from billscope.functions import text
 from billscope.operators import shares, stats
 from billscope.operators.intervals import bloc_counts, collect_members, sum_parts
 from billscope.operators.lookup import mapped
-from billscope.queries.registry import query, table, texts
+from billscope.queries.registry import lines_by_order, query, table, texts
 from billscope.queries.rowwise import placed_orders
 
 
@@ -106,7 +106,7 @@ BLOC_COLUMNS = {"Esquerda": "qtd_esquerda", "Direita": "qtd_direita", "Centrão"
 
 def order_members(spark, sf_dir):
     """One array of (line key, starred flag) per order."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = lines_by_order(spark, sf_dir)
     member = F.struct(F.col("l_partkey").alias("id"), F.concat(F.lit(" "), "l_returnflag", F.lit("*")).alias("partido"))
     return collect_members(lines, ["l_orderkey"], member, F.struct("l_partkey", "l_suppkey", "l_shipdate"), "partidos")
 
@@ -251,7 +251,7 @@ select l_orderkey, string_agg(l_returnflag, ', ' order by l_linenumber, l_partke
 from lineitem group by 1
 """)
 def a12_ordered_listagg(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn(
+    lines = lines_by_order(spark, sf_dir).withColumn(
         "place", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     )
     return stats.ordered_list(lines, "l_orderkey", "l_returnflag", ["place"], "flags")
@@ -261,7 +261,7 @@ def a12_ordered_listagg(spark, sf_dir):
 select l_orderkey, string_agg(distinct l_returnflag, ', ' order by l_returnflag) as flags from lineitem group by 1
 """)
 def a13_distinct_listagg(spark, sf_dir):
-    return stats.distinct_list(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "flags")
+    return stats.distinct_list(lines_by_order(spark, sf_dir), "l_orderkey", "l_returnflag", "flags")
 
 
 TOKENS = """tokens as (

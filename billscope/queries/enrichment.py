@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from billscope.operators import enrich
-from billscope.queries.registry import query, table
+from billscope.queries.registry import lines_by_order, query, table
 
 PLACE = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 PLACE_SQL = "l_linenumber, l_partkey, l_suppkey, l_shipdate"
@@ -28,7 +28,7 @@ def j1_enrich_authors(spark, sf_dir):
             F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("siglaUf"),
         ).alias("ultimoStatus"),
     )
-    authors = table(spark, sf_dir, "lineitem").select(
+    authors = lines_by_order(spark, sf_dir).select(
         "l_orderkey", *PLACE, F.concat_ws(" ", F.lit("Supplier"), "l_suppkey").alias("nome"),
         F.col("l_returnflag").alias("tipo"), F.col("l_suppkey").alias("uri"),
     )
@@ -50,7 +50,7 @@ select o_orderkey, coalesce('S' || s1, 'Sem tramitação') as orgao_inicial, coa
 from orders left join m on o_orderkey = k
 """)
 def j2_first_last_movement(spark, sf_dir):
-    movements = table(spark, sf_dir, "lineitem").select(
+    movements = lines_by_order(spark, sf_dir).select(
         "l_orderkey", *PLACE, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("orgao"),
         F.col("l_returnflag").alias("descricao"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm").alias("data_hora"),
     )
@@ -69,7 +69,7 @@ select o_orderkey, coalesce(status, 'Indefinido') as status_atual,
 from orders left join d on o_orderkey = k
 """)
 def j3_detail(spark, sf_dir):
-    latest = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    latest = lines_by_order(spark, sf_dir).groupBy("l_orderkey").agg(
         F.max("l_returnflag").alias("flag"), F.max("l_shipdate").alias("shipped"), F.max("l_linestatus").alias("line")
     )
     moment = F.when(F.col("flag") != "A", F.date_format("shipped", "yyyy-MM-dd'T'HH:mm"))
@@ -87,7 +87,7 @@ select o_orderkey, coalesce(string_agg(p_type, ', ' order by {PLACE_SQL}), 'Sem
 from orders left join lineitem on o_orderkey = l_orderkey left join part on l_partkey = p_partkey group by 1
 """)
 def j4_theme_list(spark, sf_dir):
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    lines, part = lines_by_order(spark, sf_dir), table(spark, sf_dir, "part").select("p_partkey", "p_type")
     themes = lines.join(part, lines.l_partkey == part.p_partkey).select(
         "l_orderkey", *PLACE, F.col("p_type").alias("tema")
     )

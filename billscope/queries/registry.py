@@ -34,3 +34,8 @@ def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents for work that is heavy per row."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
     return spread_small_scan(documents, "doc_id")
+
+
+def lines_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem for work grouped by order; the deal-out, if any, is the shuffle it needs anyway."""
+    return spread_small_scan(table(spark, sf_dir, "lineitem"), "l_orderkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from billscope.functions import dates, text
-from billscope.queries.registry import query, table, texts
+from billscope.queries.registry import lines_by_order, query, table, texts
 
 STRIP_SQL = r"regexp_replace(x, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')"
 PARTS_SQL = f"list_filter(list_transform(string_split_regex(text, '[,;]'), lambda x: {STRIP_SQL}), lambda x: x <> '')"
@@ -34,7 +34,7 @@ def f2_first_or_default(spark, sf_dir):
 
 def supplier_labels(spark, sf_dir):
     """Per order ``supplier (BRAND-NATION)`` labels of its lines in line order."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = lines_by_order(spark, sf_dir)
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     label = text.author_label(
@@ -126,7 +126,7 @@ def f22_lower_match(spark, sf_dir):
 
 def order_spans(spark, sf_dir):
     """Per order its date and last ship date as texts, with bad texts and equal dates mixed in."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    lines = lines_by_order(spark, sf_dir).groupBy("l_orderkey").agg(
         F.max("l_shipdate").alias("last_ship"), F.max("l_linenumber").alias("n")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
