@@ -117,7 +117,7 @@ def nearest_vectors(points: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> Da
 
     def visit(here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(here) or not len(asked):
-            return pd.DataFrame({"v": [], "near": []})
+            return pd.DataFrame({"v": [], "near": []}, dtype=object)
         near = _closest(_stack(asked["v"]), _stack(here["v"]), here["n"].to_numpy(), k, asked["r"].to_numpy())
         return pd.DataFrame({"v": asked["v"], "near": near})
 
