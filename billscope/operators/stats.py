@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from billscope.operators.keyed import attach
 from billscope.operators.lookup import mapped
 from billscope.operators.ordered import quantiles
+from billscope.shared import settle
 
 
 def value_counts(
@@ -201,7 +202,7 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR and outlier count per group."""
-    marks = quantiles(df.dropna(subset=[group]), [group], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    marks = settle(quantiles(df.dropna(subset=[group]), [group], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     values = df.dropna(subset=[group, column]).groupBy(group, column).agg(F.count(F.lit(1)).alias("_c"))
     placed = attach(values, [group], marks, weights=marks.select(group, F.col("n").alias("_rows")))
     reach = (F.col("q3") - F.col("q1")) * 1.5

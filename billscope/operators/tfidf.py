@@ -54,9 +54,10 @@ def tfidf(
     Terms in fewer than ``min_df`` documents or more than ``max_df`` of them are left
     out. Terms in more than a hundredth of the documents are at most a hundred times the
     terms of one document; their idf comes by broadcast. The long tail takes a shuffle
-    join, so no term gathers its rows in one task.
+    join, so no term gathers its rows in one task. Dealing the documents out by their key
+    first moves each text once; counting its terms then needs no shuffle of its own.
     """
-    counts = term_counts(df, doc, text, words)
+    counts = term_counts(df.repartition(doc), doc, text, words)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     frequency = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("_rows"))
     kept = frequency.withColumn("_n", n).where(

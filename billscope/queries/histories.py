@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from billscope.operators import intervals
+from billscope.plans import composition
 from billscope.queries.registry import query, table
+from billscope.shared import settle
 
 AS_OF = "2024-02-01"
 
@@ -158,3 +160,31 @@ def j9_asof_first_match(spark, sf_dir):
         asked, closed, "user_id", "event_type", order=["data_entrada_partido", "started"]
     )
     return out.select(F.date_format("data", "yyyy-MM-dd").alias("data"), "user_id", "event_type")
+
+
+KIND_BLOCS = {"signup": "Esquerda", "purchase": "Direita", "error": "Centrão"}
+
+
+@query("house_composition", f"""
+with {PERIODS_SQL}, {RUNS_SQL}, days as (select distinct ts::date as d from events),
+seats as (select d, user_id, row_number() over () as seat from periods join days on d between data_entrada and data_saida),
+party as (
+  select s.d, s.seat, arg_min(r.event_type, (r.data_entrada_partido, r.data_saida_partido, r.event_type)) as v
+  from seats s left join runs r on s.user_id = r.user_id and s.d between r.data_entrada_partido and r.data_saida_partido group by 1, 2
+)
+select strftime(d, '%Y-%m-%d') as data, count(*) filter (v = 'signup') as qtd_esquerda,
+       count(*) filter (v = 'purchase') as qtd_direita, count(*) filter (v = 'error') as qtd_centrao
+from party group by d
+""")
+def house_composition(spark, sf_dir):
+    """Users open on each day, by the bloc of the run they were in: the whole interval chain."""
+    active = intervals.active_on(periods(spark, sf_dir), event_days(spark, sf_dir))
+    parties = intervals.first_match_on(
+        active.select("user_id", "data"), runs(spark, sf_dir), "user_id", "event_type",
+        order=["data_entrada_partido", "data_saida_partido", "event_type"],
+    )
+    member = F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("partido"))
+    members = intervals.collect_members(settle(parties), ["data"], member, F.col("user_id"), "partidos")
+    counted = intervals.bloc_counts(members, "partidos", "partido", KIND_BLOCS, composition.BLOC_COLUMNS)
+    summed = intervals.sum_parts(counted, ["data"], list(composition.BLOC_COLUMNS.values()))
+    return summed.withColumn("data", F.date_format("data", "yyyy-MM-dd"))
