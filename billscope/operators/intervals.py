@@ -13,11 +13,12 @@ from billscope.operators.keyed import attach_aggregates, small_side
 from billscope.operators.lookup import mapped
 from billscope.operators.ordered import (
     CHUNK,
-    join_per_chunk,
+    UNCUT,
     next_value,
     previous_value,
     row_numbers,
     with_chunks,
+    with_edges,
 )
 
 NOT_FOUND = "Não encontrado"
@@ -44,23 +45,21 @@ def open_close_periods(
     """
     on, off = F.coalesce(opens, F.lit(False)), F.coalesce(closes, F.lit(False))
     marks = events.select(key, *order, day.alias("_day"), on.alias("_on"), off.alias("_off"))
-    marks = with_chunks(marks.where(F.col("_on") | F.col("_off")), order, chunks, events)
+    marks = with_chunks(marks.where(F.col("_on") | F.col("_off")), order, chunks, events, keys=[key])
     chunked = CHUNK in marks.columns
-    sets = F.when(~F.col("_off"), 1).when(~F.col("_on"), 0)
-    toggles = F.when(F.col("_on") & F.col("_off"), 1).otherwise(0)
-
-    in_chunk = Window.partitionBy(key, *[CHUNK] * chunked).orderBy(*order)
-    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = marks.withColumn("_flips", F.sum(toggles).over(so_far))
-    marks = marks.withColumn(
-        "_base", F.last(F.when(sets.isNotNull(), (sets + F.col("_flips")) % 2), True).over(so_far)
-    )
+    marks = marks.withColumns({
+        "_set": F.when(~F.col("_off"), 1).when(~F.col("_on"), 0),
+        "_flip": F.when(F.col("_on") & F.col("_off"), 1).otherwise(0),
+    }).drop("_on", "_off")
+    cut, place = [key], list(order)
+    if chunked:
+        cut, place = [key, CHUNK], ["_edge", *order]
+        marks = with_edges(marks, _states_before_chunks(marks.where(F.col(CHUNK) != UNCUT), key, order))
+    states = _running_states(marks, cut, place)
+    before = F.lag("_state").over(Window.partitionBy(*cut).orderBy(*place))
+    marks = states.withColumn("_before", F.coalesce(before, F.lit(0)))
     if chunked:
-        marks = join_per_chunk(marks, _states_before_chunks(marks, key, order), [key])
-    else:
-        marks = marks.withColumn("_carry", F.lit(0))
-    marks = marks.withColumn("_state", (F.coalesce("_base", "_carry") + F.col("_flips")) % 2)
-    marks = marks.withColumn("_before", F.coalesce(F.lag("_state").over(in_chunk), "_carry"))
+        marks = marks.where(F.col("_edge") == 0)
     changes = marks.where(F.col("_state") != F.col("_before")).select(
         key, *order, "_day", "_state", *[CHUNK] * chunked
     )
@@ -70,21 +69,33 @@ def open_close_periods(
     )
 
 
+def _running_states(marks: DataFrame, cut: Sequence[str], place: Sequence[str]) -> DataFrame:
+    """State after each row: the last set value (closed at first) plus the flips since."""
+    so_far = Window.partitionBy(*cut).orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flipped = marks.withColumn("_flips", F.sum("_flip").over(so_far))
+    base = F.last((F.col("_set") + F.col("_flips")) % 2, True).over(so_far)
+    return flipped.withColumn("_base", base).withColumn(
+        "_state", (F.coalesce("_base", F.lit(0)) + F.col("_flips")) % 2
+    )
+
+
 def _states_before_chunks(marks: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """State of each key when a chunk begins, from one (base, flips) pair per chunk."""
-    ends = marks.groupBy(key, CHUNK).agg(
-        F.max_by(F.struct("_base", "_flips"), F.struct(*order)).alias("_e")
+    """One carried row per (key, chunk) that sets the state in which the chunk begins.
+
+    A whole chunk sets a state or flips it, just as an event does.
+    """
+    last = _running_states(marks, [key, CHUNK], order).groupBy(key, CHUNK).agg(
+        F.max_by(F.struct("_base", "_flips", "_state"), F.struct(*order)).alias("_e")
     )
-    whole_set = F.when(F.col("_e._base").isNotNull(), (F.col("_e._base") + F.col("_e._flips")) % 2)
-    whole_flip = F.when(F.col("_e._base").isNull(), F.col("_e._flips")).otherwise(0)
-    by_chunk = Window.partitionBy(key).orderBy(CHUNK)
-    so_far = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = ends.withColumn("_cf", F.sum(whole_flip).over(so_far)).withColumn(
-        "_cb", F.last(F.when(whole_set.isNotNull(), (whole_set + F.col("_cf")) % 2), True).over(so_far)
+    sets = F.col("_e._base").isNotNull()
+    chunk_marks = last.select(
+        key, CHUNK, F.when(sets, F.col("_e._state")).alias("_set"),
+        F.when(sets, F.lit(0).cast("long")).otherwise(F.col("_e._flips")).alias("_flip"),
     )
-    after = (F.coalesce("_cb", F.lit(0)) + F.col("_cf")) % 2
-    return ends.withColumn("_after", after).select(
-        key, CHUNK, F.coalesce(F.lag("_after").over(by_chunk), F.lit(0)).alias("_carry")
+    after = _running_states(chunk_marks, [key], [CHUNK])
+    begins = F.coalesce(F.lag("_state").over(Window.partitionBy(key).orderBy(CHUNK)), F.lit(0))
+    return after.select(
+        key, CHUNK, F.lit(-1).alias("_edge"), begins.alias("_set"), F.lit(0).alias("_flip")
     )
 
 
@@ -104,7 +115,7 @@ def value_runs(
     A null run ends the one before it and is not given out itself.
     """
     rows = events.select(key, *order, day.alias("_day"), F.col(value).alias("_v"))
-    rows = with_chunks(rows, order, chunks, events)
+    rows = with_chunks(rows, order, chunks, events, keys=[key])
     rows = previous_value(rows, [key], order, F.col("_v"), "_prev")
     changes = rows.where(~F.col("_v").eqNullSafe(F.col("_prev"))).drop("_prev")
     changes = next_value(changes, [key], order, F.col("_day"), "_next")

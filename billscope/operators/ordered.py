@@ -1,15 +1,16 @@
 """Ordered work (ranks, running sums, neighbours, quantiles) that no single key can swamp.
 
-A window over one hot key would run in one task, which is fine for a table that a check
-shows to be small. In any other table every key is first cut into
+A window over one hot key would run in one task. Checks find the keys that are too large
+for that - mostly there are none, and plain windows do. The rows of such keys are first cut into
 chunks of consecutive rows at splitter values drawn from the data, the window runs
-inside (key, chunk), and what crosses a chunk border is carried by a table with one
-row per (key, chunk).
+inside (key, chunk), and what crosses a chunk border is carried by one extra row per
+(key, chunk).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ from billscope.shared import settle
 LEAST_CHUNKS = 64
 MOST_CHUNKS = 8192
 CHUNK = "_chunk"
+UNCUT = -1
 ONE_TASK_ROWS = 1_000_000
+HOT_KEY_LIST = 10_000
 
 
 def chunk_count(df: DataFrame) -> int:
@@ -78,43 +81,70 @@ def with_chunks(
     chunks: int | None = None,
     source: DataFrame | None = None,
     keep: bool = False,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Add the number of the chunk a row falls into under the given ascending order.
 
     The leading column decides; only rows that share a splitter's leading value look at
     the other columns, so even a heavily repeated leading value is cut up.
 
-    Without an explicit number of chunks, a table that fits one task is left alone. The
-    check looks at ``source`` if given: a table with no fewer rows that is cheaper to read.
-    Chunking reads its input several times; ``keep`` writes a costly input down first.
+    Without an explicit number of chunks, a table is left alone when it fits one task or
+    when each of its ``keys`` does; otherwise only the rows of the keys that do not are
+    cut up. These checks look at ``source`` if given: a table with the same keys and no
+    fewer rows that is cheaper to read. Chunking reads its input several times; ``keep``
+    writes a costly input down first.
     """
+    hot = None
     if chunks is None:
-        if at_most(df if source is None else source, ONE_TASK_ROWS):
+        seen = df if source is None else source
+        if at_most(seen, ONE_TASK_ROWS):
             return df
+        if keys:
+            hot = hot_keys(seen, keys)
+            if hot is not None and not hot:
+                return df
         chunks = chunk_count(df)
     if keep:
         df = settle(df)
-    out = df.withColumn("_bounds", splitters(df, order, chunks).scalar())
-    out = out.withColumn("_leads", F.col("_bounds.leads"))
-    out = out.withColumn(CHUNK, _lead_place(F.col(order[0]), F.col("_leads"), chunks))
+    marked = df.withColumn("_cut", F.lit(True)) if hot is None else _mark_keys(df, keys, hot)
+    bounds = splitters(marked.where("_cut"), order, chunks).scalar()
+    out = marked.withColumn("_bounds", bounds).withColumn("_leads", F.col("_bounds.leads"))
+    lead, row = F.col(order[0]), F.struct(*order)
+    place = F.when(F.col("_cut"), _lead_place(lead, F.col("_leads"), chunks)).otherwise(UNCUT)
+    out = out.withColumn(CHUNK, place)
     if len(order) > 1:
-        lead, row = F.col(order[0]), F.struct(*order)
-        tied = F.get("_leads", F.col(CHUNK)) == lead
+        tied = F.col("_cut") & (F.get("_leads", F.col(CHUNK)) == lead)
         below = F.size(F.filter(F.col("_bounds.rows"), lambda b: (b[order[0]] == lead) & (b < row)))
         out = out.withColumn(CHUNK, F.when(tied, F.col(CHUNK) + below).otherwise(F.col(CHUNK)))
-    return out.drop("_bounds", "_leads")
+    return out.drop("_bounds", "_leads", "_cut")
 
 
-def join_per_chunk(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of one carried row per (key, chunk)."""
-    on = [*keys, CHUNK]
-    side = side.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)],
-                       *[c for c in side.columns if c not in on])
-    matches = None
-    for i, k in enumerate(on):
-        same = df[k].eqNullSafe(side[f"_k{i}"])
-        matches = same if matches is None else matches & same
-    return df.join(side, matches, "left").drop(*[f"_k{i}" for i in range(len(on))])
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> list | None:
+    """The keys whose rows do not fit one task, or None when they are too many to list."""
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ONE_TASK_ROWS)
+    found = large.select(*keys).limit(HOT_KEY_LIST + 1).collect()
+    return None if len(found) > HOT_KEY_LIST else found
+
+
+def _mark_keys(df: DataFrame, keys: Sequence[str], hot: list) -> DataFrame:
+    """``_cut``: whether the row's key is in the short list."""
+    listed = df.sparkSession.createDataFrame(hot, df.select(*keys).schema).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(True).alias("_listed")
+    )
+    same = [df[k].eqNullSafe(listed[f"_k{i}"]) for i, k in enumerate(keys)]
+    marked = df.join(F.broadcast(listed), reduce(lambda a, b: a & b, same), "left")
+    return marked.withColumn("_cut", F.col("_listed").isNotNull()).drop(
+        "_listed", *[f"_k{i}" for i in range(len(keys))]
+    )
+
+
+def with_edges(df: DataFrame, edges: DataFrame) -> DataFrame:
+    """Add one carried row per (key, chunk): ``_edge`` -1 sorts it first, 1 sorts it last.
+
+    A carried row takes part in the chunk's window like any other row, so it costs no join
+    and the rows move once. ``_edge`` is 0 on the rows themselves.
+    """
+    return df.withColumn("_edge", F.lit(0)).unionByName(edges, allowMissingColumns=True)
 
 
 def running_sums(
@@ -133,25 +163,28 @@ def running_sums(
         if totals:
             added |= {f"{n}_total": F.sum(c).over(Window.partitionBy(*keys)) for n, c in sums.items()}
         return df.withColumns(added)
-    per_chunk = df.groupBy(*cut).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    parts = df.withColumns({f"_s_{n}": c for n, c in sums.items()})
+    per_chunk = parts.groupBy(*cut).agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(
+    edges = per_chunk.select(
         *cut,
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        F.lit(-1).alias("_edge"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(Window.partitionBy(*keys)).alias(f"{n}_total") for n in sums if totals],
     )
-    out = df.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in sums.items()})
-    out = join_per_chunk(out, carried, keys)
-    return out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_l_{n}") for n in sums}).drop(
-        *[f"_o_{n}" for n in sums], *[f"_l_{n}" for n in sums]
-    )
+    both = with_edges(parts.withColumns({f"{n}_total": F.lit(None) for n in sums if totals}), edges)
+    up_to = Window.partitionBy(*cut).orderBy("_edge", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumns({n: F.sum(f"_s_{n}").over(up_to) for n in sums})
+    if totals:
+        out = out.withColumns({f"{n}_total": F.first(f"{n}_total", True).over(up_to) for n in sums})
+    return out.where(F.col("_edge") == 0).drop("_edge", *[f"_s_{n}" for n in sums])
 
 
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunks: int | None = None
 ) -> DataFrame:
     """1-based position of each row within its key under an ascending total order."""
-    chunked = with_chunks(df, order, chunks)
+    chunked = with_chunks(df, order, chunks, keys=keys)
     return running_sums(chunked, keys, order, {name: F.lit(1).cast("long")}).drop(CHUNK)
 
 
@@ -160,18 +193,18 @@ def _neighbour(df, keys, order, value, name, back):
     step = F.lag if back else F.lead
     if CHUNK not in df.columns:
         return df.withColumn(name, step(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    boxed = F.struct(value.alias("v"))
-    local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    cut = [*keys, CHUNK]
+    boxed = df.withColumn("_box", F.struct(value.alias("v")))
     place = F.struct(*order)
-    edge = F.max_by(boxed, place) if back else F.min_by(boxed, place)
-    over = Window.partitionBy(*keys).orderBy(CHUNK)
-    carried = (
-        df.groupBy(*keys, CHUNK)
-        .agg(edge.alias("_edge"))
-        .select(*keys, CHUNK, step("_edge").over(over).alias("_edge"))
+    outermost = F.max_by("_box", place) if back else F.min_by("_box", place)
+    edges = boxed.where(F.col(CHUNK) != UNCUT).groupBy(*cut).agg(outermost.alias("_box")).select(
+        *cut,
+        F.lit(-1 if back else 1).alias("_edge"),
+        step("_box").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_box"),
     )
-    out = join_per_chunk(df.withColumn("_near", step(boxed).over(local)), carried, keys)
-    return out.withColumn(name, F.coalesce("_near", "_edge")["v"]).drop("_near", "_edge")
+    near = step("_box").over(Window.partitionBy(*cut).orderBy("_edge", *order))
+    out = with_edges(boxed, edges).withColumn("_near", near).where(F.col("_edge") == 0)
+    return out.withColumn(name, F.col("_near.v")).drop("_edge", "_box", "_near")
 
 
 def previous_value(
@@ -206,7 +239,7 @@ def quantiles(
         .groupBy(*groups, F.col(value).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cut = with_chunks(counts, ["_x"], chunks, df if source is None else source, keep=True)
+    cut = with_chunks(counts, ["_x"], chunks, df if source is None else source, keep=True, keys=groups)
     ranked = running_sums(cut, groups, ["_x"], {"_c": F.col("_n")}, totals=True)
     picks = []
     for name, share in shares.items():

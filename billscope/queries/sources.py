@@ -20,7 +20,7 @@ def landed_pages(spark, sf_dir):
     )
     run = ["ano", "tipo"]
     numbered = running_sums(
-        with_chunks(lines, LINE_ORDER), run, LINE_ORDER, {"n": F.lit(1).cast("long")}, totals=True
+        with_chunks(lines, LINE_ORDER, keys=run), run, LINE_ORDER, {"n": F.lit(1).cast("long")}, totals=True
     )
     item = F.struct(
         F.col("l_orderkey").alias("id"),

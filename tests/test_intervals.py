@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from billscope.operators import intervals
+from billscope.operators import intervals, ordered
 
 AS_OF = date(2024, 6, 1)
 
@@ -52,6 +52,24 @@ def test_open_close_periods(frame, events, chunks):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_large_keys_only_give_the_same_intervals(spark, frame, events, monkeypatch):
+    """One key ten times as long as the others: only it is cut, and nothing changes."""
+    long = [(99, m, 1000 * k + p, kind, party) for k, m, p, kind, party in events]
+    both = frame.unionByName(spark.createDataFrame(long, frame.schema))
+    day, as_of = F.col("ts").cast("date"), F.lit(AS_OF)
+
+    def results():
+        opened = intervals.open_close_periods(
+            both, "id", ["ts", "pos"], day, F.col("kind").isin("open", "both"), F.col("kind").isin("close", "both"), as_of
+        )
+        runs = intervals.value_runs(both, "id", ["ts", "pos"], day, "party", as_of)
+        return sorted(map(tuple, opened.collect())), sorted(map(tuple, runs.collect()))
+
+    plain = results()
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 60)
+    assert results() == plain
+
+
 @pytest.mark.parametrize("chunks", [None, 16, 64])
 def test_value_runs(frame, events, chunks):
     got = intervals.value_runs(

@@ -99,3 +99,21 @@ def test_attach_aggregates_groups_nulls(frame, rows):
 def test_at_most(spark):
     frame = spark.range(10)
     assert ordered.at_most(frame, 10) and not ordered.at_most(frame, 9)
+
+
+def test_only_large_keys_are_cut(frame, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 100)
+    cut = ordered.with_chunks(frame, ["t", "i"], keys=["k"])
+    chunks = {r.k: r.n for r in cut.groupBy("k").agg(F.countDistinct("_chunk").alias("n")).collect()}
+    assert chunks.pop("hot") > 20 and set(chunks.values()) == {1}
+    got = {r.i: r.n for r in ordered.row_numbers(frame, ["k"], ["t", "i"], "n").collect()}
+    places = defaultdict(int)
+    for k, _, i, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        places[k] += 1
+        assert got[i] == places[k]
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 500)
+    assert "_chunk" not in ordered.with_chunks(frame, ["t", "i"], keys=["k"]).columns
+    monkeypatch.setattr(ordered, "HOT_KEY_LIST", 0)
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 100)
+    whole = ordered.with_chunks(frame, ["t", "i"], keys=["k"])
+    assert whole.where("k <> 'hot'").select("_chunk").distinct().count() > 10
