@@ -18,6 +18,7 @@ CELL_ROWS = 2000
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 16
 PROBE_SALTS = 4
+BLOCK_NUMBERS = 4_000_000
 
 CANDIDATES = "array<struct<d: double, v: array<double>, n: bigint>>"
 
@@ -46,12 +47,20 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column])
 
 
+def _pieces(batches, width: int):
+    """Batches cut so that rows times ``width`` numbers fit comfortably in memory."""
+    step = max(1, BLOCK_NUMBERS // max(1, width))
+    for batch in batches:
+        for start in range(0, len(batch), step):
+            yield batch.iloc[start:start + step]
+
+
 def _closest(
     asked: np.ndarray, points: np.ndarray, counts: np.ndarray, k: int, radius: np.ndarray | None = None
 ) -> list[list[dict]]:
     """The k closest points of each asked vector, itself left out, within its radius."""
     out = []
-    block = max(1, 4_000_000 // max(1, points.size))
+    block = max(1, BLOCK_NUMBERS // max(1, points.size))
     for start in range(0, len(asked), block):
         part = asked[start:start + block]
         square = ((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
@@ -79,11 +88,10 @@ def nearest_vectors(points: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> Da
     low, high = split_boxes(_stack(sample["v"]) if len(sample) else np.zeros((1, 1)), cells)
 
     def place(batches):
-        for batch in batches:
-            if len(batch):
-                at = _stack(batch["v"])[:, None, :]
-                inside = ((at >= low[None]) & (at < high[None])).all(axis=2)
-                yield batch.assign(cell=inside.argmax(axis=1))
+        for batch in _pieces(batches, low.size):
+            at = _stack(batch["v"])[:, None, :]
+            inside = ((at >= low[None]) & (at < high[None])).all(axis=2)
+            yield batch.assign(cell=inside.argmax(axis=1))
 
     placed = points.mapInPandas(place, "v array<double>, n bigint, cell int")
 
@@ -99,9 +107,7 @@ def nearest_vectors(points: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> Da
     own = settle(own)
 
     def visits(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _pieces(batches, low.size):
             at = _stack(batch["v"])[:, None, :]
             gap = np.maximum(np.maximum(low[None] - at, at - high[None]), 0.0)
             reached = (gap ** 2).sum(axis=2) <= batch["r"].to_numpy()[:, None]
