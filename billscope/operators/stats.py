@@ -151,12 +151,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     counted = (
         df.where(x.isNotNull())
         .select(x.alias("_x"))
-        .groupBy("_x")
-        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_r", _range(df, column))
-        .select(F.least(F.floor((F.col("_x") - low) / width) + 1, F.lit(bins)).alias("bin"), "_n")
-        .groupBy("bin")
-        .agg(F.sum("_n").alias("count"))
+        .groupBy(F.least(F.floor((F.col("_x") - low) / width) + 1, F.lit(bins)).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("count"))
     )
     edges = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin")).withColumn("_r", _range(df, column))
     return edges.join(counted, "bin", "left").where(F.col("_r.n") > 0).select(
@@ -203,7 +200,7 @@ def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
 def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR and outlier count per group."""
     marks = settle(quantiles(df.dropna(subset=[group]), [group], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
-    values = df.dropna(subset=[group, column]).groupBy(group, column).agg(F.count(F.lit(1)).alias("_c"))
+    values = df.dropna(subset=[group, column]).select(group, column)
     placed = attach(values, [group], marks, weights=marks.select(group, F.col("n").alias("_rows")))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     x = F.col(column)
@@ -215,7 +212,7 @@ def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
         F.max("q3").alias("q3"),
         F.least(F.min(F.when(inside, x)), F.max("q1")).alias("whisker_low"),
         F.greatest(F.max(F.when(inside, x)), F.max("q3")).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )
 
 
