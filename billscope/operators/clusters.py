@@ -32,13 +32,15 @@ def as_vector(df: DataFrame, column: str, output: str = "features") -> DataFrame
 
 
 def kmeans_best(
-    df: DataFrame, k: int, features: str = "features", seed: int = 42, starts: int = 10
+    df: DataFrame, k: int, features: str = "features", seed: int = 42, starts: int = 10,
+    weight: str | None = None,
 ) -> KMeansModel:
-    """The model of least cost over several seeded starts."""
-    data = df.select(features).persist()
+    """The model of least cost over several seeded starts; ``weight`` counts equal points."""
+    data = df.select(features, *([weight] if weight else [])).persist()
+    extra = {"weightCol": weight} if weight else {}
     try:
         models = [
-            KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed + i).fit(data)
+            KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed + i, **extra).fit(data)
             for i in range(starts)
         ]
     finally:
@@ -51,15 +53,17 @@ def k_sweep(
 ) -> tuple[int, DataFrame, KMeansModel]:
     """Best k by exact one-dimensional silhouette; ties go to the smaller k.
 
-    Gives the best k, the table (k, silhouette) and the best model.
+    Gives the best k, the table (k, silhouette) and the best model. Equal values are
+    counted once before the sweep, which then works on weighted points.
     """
-    data = as_vector(df.select(value), value).persist()
+    points = df.dropna(subset=[value]).groupBy(value).agg(F.count(F.lit(1)).alias("_weight"))
+    data = as_vector(points, value).persist()
     try:
         scored = []
         for k in ks:
-            model = kmeans_best(data, k, seed=seed, starts=starts)
-            labelled = model.transform(data).select(value, "cluster")
-            scored.append((k, silhouette_1d(labelled, value, "cluster").first()[0], model))
+            model = kmeans_best(data, k, seed=seed, starts=starts, weight="_weight")
+            labelled = model.transform(data).select(value, "cluster", "_weight")
+            scored.append((k, silhouette_1d(labelled, value, "cluster", weight="_weight").first()[0], model))
     finally:
         data.unpersist()
     best = max(scored, key=lambda s: (s[1] if s[1] is not None else float("-inf"), -s[0]))
@@ -108,7 +112,9 @@ def centroids_of(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     )
 
 
-def silhouette_1d(df: DataFrame, value: str, cluster: str, chunks: int | None = None) -> DataFrame:
+def silhouette_1d(
+    df: DataFrame, value: str, cluster: str, chunks: int | None = None, weight: str | None = None
+) -> DataFrame:
     """Exact mean silhouette (Euclidean) of one-dimensional points.
 
     Equal points are counted first. The mean distance to a cluster that lies wholly on
@@ -118,7 +124,7 @@ def silhouette_1d(df: DataFrame, value: str, cluster: str, chunks: int | None =
     """
     points = df.dropna(subset=[value, cluster]).groupBy(
         F.col(value).cast("double").alias("x"), F.col(cluster).alias("own")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     per_cluster = points.groupBy(F.col("own").alias("c")).agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("m"),
         F.sum(F.col("x") * F.col("n")).alias("s"),
