@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+_settled: list[tuple[SparkSession, str]] = []
+
 
 def build_session(master: str = "local[8]", app: str = "billscope", **conf: str) -> SparkSession:
     """Session with the settings the operators are written for (UTC, AQE, skew joins)."""
@@ -48,4 +54,38 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, "settled")
     df.write.parquet(path)
+    _settled.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_settled() -> None:
+    """Remove the tables settled so far; results that still read them must be written first.
+
+    It also runs when the driver's Python ends.
+    """
+    while _settled:
+        spark, path = _settled.pop()
+        if spark.sparkContext._jsc is None:  # the session has ended
+            continue
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+atexit.register(clear_settled)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers then import it wherever they run and whatever folder the driver was started in.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="billscope-")) / "billscope.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
