@@ -55,7 +55,16 @@ def settle(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "settled")
     df.write.parquet(path)
     _settled.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Remove a settled table that nothing reads any more."""
+    for spark, path in [x for x in _settled if x[1] == getattr(table, "_settled_at", None)]:
+        _settled.remove((spark, path))
+        _remove(spark, path)
 
 
 def clear_settled() -> None:
@@ -65,10 +74,14 @@ def clear_settled() -> None:
     """
     while _settled:
         spark, path = _settled.pop()
-        if spark.sparkContext._jsc is None:  # the session has ended
-            continue
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 atexit.register(clear_settled)
