@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -89,3 +89,37 @@ def each_row(batches: Iterator[pa.RecordBatch], size: int = 64) -> Iterator[tupl
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             yield from zip(*[c.to_pylist() for c in batch.slice(start, size).columns], strict=True)
+
+
+def digest(text: str = "text") -> Column:
+    """Tells rows with one id and different texts apart."""
+    return F.xxhash64(text)
+
+
+def rewrite(docs: DataFrame, found: DataFrame, column: str, change: Callable[[str, object], str]) -> DataFrame:
+    """``docs`` with ``change(text, value)`` for each text, where ``found`` has a value of ``column``.
+
+    ``found`` has doc_id and digest of the text; its rows for repeated rows are equal. ``n_chars``
+    follows the text if there is such a column. Texts must not be null.
+    """
+    one = found.groupBy("doc_id", "digest").agg(F.first(column).alias(column))
+    rows = docs.withColumn("_digest", digest())
+    joined = rows.join(one, [rows.doc_id.eqNullSafe(one.doc_id), rows["_digest"] == one.digest], "left").select(
+        *[rows[c] for c in docs.columns], one[column].alias("_found")
+    )
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = list(batch.columns[:-1])
+            at = names.index("text")
+            old, values = arrays[at].to_pylist(), batch.columns[-1].to_pylist()
+            new = [t if v is None else change(t, v) for t, v in zip(old, values, strict=True)]
+            arrays[at] = pa.array(new, arrays[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                arrays[k] = pa.array([len(t) for t in new], arrays[k].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    ship(docs.sparkSession)
+    return joined.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billscope.llm.common import SPACES, documents, pick
+from billscope.llm.common import SPACES, digest, documents, pick
 from billscope.shared import settle
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -33,19 +33,19 @@ SHARES = ["symbol_share", "dup_line_share", "repeat_share", "word_length", "uppe
 
 
 def text_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, the counts in BASE and further ones of every whole text."""
+    """doc_id, digest of the text, the counts in BASE and further ones of every whole text."""
     rows = documents(docs, id_column, text_column)
     words = F.filter(F.split("text", f"[{SPACES}]+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
     hashed = rows.select(
-        "doc_id",
+        "doc_id", digest().alias("digest"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.regexp_count("text", F.lit("[0-9]")).cast("long").alias("n_digits"),
         F.regexp_count("text", F.lit("[!?;:,.]")).cast("long").alias("n_marks"),
         words.alias("words"), lines.alias("lines"),
     ).select(
-        "doc_id", "n_symbols", "n_upper", "n_digits", "n_marks",
+        "doc_id", "digest", "n_symbols", "n_upper", "n_digits", "n_marks",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -72,7 +72,7 @@ def text_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str
     covered = twice.withColumn("gaps", _neighbours("starts", lambda a, b: F.least(b - a, F.lit(3))))
     repeated = F.when(F.size("starts") == 0, F.lit(0)).otherwise(F.aggregate("gaps", F.lit(3), lambda total, gap: total + gap))
     return covered.select(
-        "doc_id", *BASE[:-1], repeated.cast("long").alias("n_repeat_words"), "n_lines", "n_upper", "n_digits", "n_marks"
+        "doc_id", "digest", *BASE[:-1], repeated.cast("long").alias("n_repeat_words"), "n_lines", "n_upper", "n_digits", "n_marks"
     )
 
 
@@ -232,7 +232,7 @@ def judge(
     labelled_rows: int = 2_000_000,
     precision: float = 0.97,
 ) -> DataFrame:
-    """doc_id, statistics, base_failed, rule (null: none) and kept of every document.
+    """doc_id, digest, statistics, base_failed, rule (null: none) and kept of every document.
 
     The list is fitted on labelled rows that pass the base rule. ``labelled_rows`` bounds them:
     beyond it they are thinned out evenly by a hash of the id.

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billscope.llm import bpe, chat, quality, repeats, simhash
+from billscope.llm import best_fit, bpe, chat, licenses, packing, private, quality, repeats, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,9 +80,42 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
+@query("op3_token_matrix")
+def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return best_fit.token_matrix(table(spark, sf_dir, "documents"), path, length=2048)
+
+
+@query("op4_private_data")
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        at = private.KINDS.index(kind)
+        return F.size(F.filter("base", lambda s: s.kind == at)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(k) for k in private.KINDS if k != "id"],
+        F.sha2(private.span_list("base"), 256).alias("base_sha256"), private.span_list("spans").alias("spans"),
+    )
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), coverage=0.8)
+
+
+@query("op6_retrieval_packing")
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=1024)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4).drop("digest")
 
 
 @query("op8_byte_bpe")
@@ -94,3 +127,22 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeats")
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep_bytes=False)
+
+
+@query(
+    "op10_top_k",
+    """WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+        WHERE r <= 10""",
+)
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)

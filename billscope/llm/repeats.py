@@ -281,6 +281,13 @@ def remove_repeats(
     return cut_spans(rows, spans(rows, length), *["kept"] * keep_bytes)
 
 
+def cut_text(text: str, found: list[dict]) -> str:
+    """The text without its spans; a character that a border cuts through goes as well."""
+    raw = text.encode()
+    edges = [0, *[x for span in _merge(found) for x in span], len(raw)]
+    return "".join(raw[a:b].decode(errors="ignore") for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def cut_spans(rows: DataFrame, found: DataFrame, *keep: str) -> DataFrame:
     """Rows without their spans; ``kept`` is the remaining bytes, if it is asked for."""
     joined = rows.join(found, [rows.doc_id.eqNullSafe(found.doc_id), rows.digest == found.digest], "left").select(

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billscope.llm.common import documents, each_row, map_arrays, map_batches
+from billscope.llm.common import digest, documents, each_row, map_arrays, map_batches
 from billscope.llm.components import components
 from billscope.shared import settle
 
@@ -60,14 +60,15 @@ def fingerprint(text: str, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, digest of the text and fp, the fingerprint as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]):
-        for doc, text in each_row(batches):
+        for doc, mark, text in each_row(batches):
             value = fingerprint(text, words)
-            yield doc, value - (1 << 64) if value >> 63 else value
+            yield doc, mark, value - (1 << 64) if value >> 63 else value
 
-    return map_batches(documents(docs, id_column, text_column), work, "doc_id long, fp long")
+    rows = documents(docs, id_column, text_column).select("doc_id", digest().alias("digest"), "text")
+    return map_batches(rows, work, "doc_id long, digest long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -214,7 +215,7 @@ def _balls(values: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, words: int = 4, distance: int = 4, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    """doc_id, digest of the text, fingerprint (16 hex digits) and component_id of every document."""
     known = settle(fingerprints(docs, words, id_column, text_column))
     distinct = settle(known.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct.select("fp"), distance))
@@ -222,5 +223,5 @@ def near_duplicates(
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "root").select("fp", "component_id")
     return known.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "digest", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
