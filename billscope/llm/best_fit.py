@@ -84,7 +84,10 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
 def token_matrix(
     docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, pad_id: int = 0, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """Rows of packed ids; ``ids`` and ``positions`` are little-endian unsigned 32-bit."""
+    """Rows of packed ids, little-endian unsigned 32-bit; positions take 16 bits where they can."""
+    if length < 1:
+        raise ValueError("a row needs room for a token")
+    small = "<u2" if length <= 1 << 16 else "<u4"
 
     def work(batches: Iterator[pa.RecordBatch]):
         model = tokens.load(path)
@@ -98,9 +101,10 @@ def token_matrix(
                 edges = [0, *np.cumsum(sizes).tolist()]
                 ids = np.full(length, pad_id, "<u4")
                 ids[: edges[-1]] = np.concatenate([p[2] for p in parts])
-                positions = np.arange(length, dtype="<u4")
+                positions = np.arange(length)
                 for a, b in zip(edges, [*edges[1:], length], strict=True):
-                    positions[a:b] -= np.uint32(a)
+                    positions[a:b] -= a
+                positions = positions.astype(small)
                 yield (
                     sequence, edges[-1], len(row), ids.tobytes(), edges, positions.tobytes(),
                     [p[0] for p in parts], [p[1] for p in parts],

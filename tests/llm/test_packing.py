@@ -106,8 +106,8 @@ def test_matrix_round_trip(spark, tmp_path):
     matrix = best_fit.token_matrix(awkward(spark, rows), PATH, length=128)
     best_fit.write_matrix(matrix, str(tmp_path / "m"))
     for r in spark.read.parquet(str(tmp_path / "m")).collect():
-        assert len(r.ids) == len(r.positions) == 512 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 128
-        positions = np.frombuffer(r.positions, "<u4").tolist()
+        assert len(r.ids) == 2 * len(r.positions) == 512 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 128
+        positions = np.frombuffer(r.positions, "<u2").tolist()
         for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]):
             assert positions[a:b] == list(range(b - a))
     segments = best_fit.read_documents(spark, str(tmp_path / "m"))
