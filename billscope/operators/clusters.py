@@ -77,24 +77,23 @@ def nearest_centroid(
 ) -> DataFrame:
     """Closest centroid of each row, the smallest cluster number on a tie.
 
-    The centroids (a checked number) travel as one array; no (row, centroid) pair leaves
-    its row.
+    The centroids travel as arrays of about ``limit``; no (row, centroid) pair leaves its row.
     """
-    if not at_most(centroids, limit):
-        raise ValueError(f"more than {limit} centroids")
-    packed = centroids.agg(
-        F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col(centroid).alias("v")))).alias("a")
-    ).scalar()
-    ranked = F.transform(
-        F.col("_centroids"),
-        lambda m: F.struct(squared_distance(F.col(vector), m["v"]).alias("d"), m["c"].alias("c")),
-    )
+    parts = 1 if at_most(centroids, limit) else -(-centroids.count() // limit)
+    shown = centroids.select(F.struct(F.col(cluster).alias("c"), F.col(centroid).alias("v")).alias("m"))
+    best = []
+    for part in range(parts):
+        mine = shown.where(F.pmod(F.xxhash64("m"), F.lit(parts)) == part) if parts > 1 else shown
+        rows = rows.withColumn(f"_centroids{part}", mine.agg(F.sort_array(F.collect_list("m")).alias("a")).scalar())
+        best.append(F.array_min(F.transform(
+            F.col(f"_centroids{part}"),
+            lambda m: F.struct(squared_distance(F.col(vector), m["v"]).alias("d"), m["c"].alias("c")),
+        )))
     return (
-        rows.withColumn("_centroids", packed)
-        .withColumn("_best", F.array_min(ranked))
+        rows.withColumn("_best", best[0] if parts == 1 else F.array_min(F.array_compact(F.array(*best))))
         .withColumn(cluster, F.col("_best.c"))
         .withColumn("distance", F.sqrt("_best.d"))
-        .drop("_centroids", "_best")
+        .drop(*[f"_centroids{part}" for part in range(parts)], "_best")
     )
 
 

@@ -109,10 +109,13 @@ def value_runs(
     start: str = "data_entrada_partido",
     end: str = "data_saida_partido",
     chunks: int | None = None,
+    place: str | None = None,
 ) -> DataFrame:
     """Maximal runs of an equal value: (value, start, start of the next run, last -> as_of).
 
-    A null run ends the one before it and is not given out itself.
+    A null run ends the one before it and is not given out itself. ``place`` names a further
+    column, the order values of a run's first event: runs that begin on one day keep their
+    order by it.
     """
     rows = events.select(key, *order, day.alias("_day"), F.col(value).alias("_v"))
     rows = with_chunks(rows, order, chunks, events, keys=[key])
@@ -120,7 +123,8 @@ def value_runs(
     changes = rows.where(~F.col("_v").eqNullSafe(F.col("_prev"))).drop("_prev")
     changes = next_value(changes, [key], order, F.col("_day"), "_next")
     return changes.where(F.col("_v").isNotNull()).select(
-        key, F.col("_v").alias(value), F.col("_day").alias(start), F.coalesce("_next", as_of).alias(end)
+        key, F.col("_v").alias(value), F.col("_day").alias(start), F.coalesce("_next", as_of).alias(end),
+        *([F.struct(*order).alias(place)] if place else []),
     )
 
 
@@ -152,13 +156,17 @@ def active_on(
 ) -> DataFrame:
     """Every (day, interval) with start <= day <= end, both ends closed.
 
-    Intervals are spread over the months they touch, so the range condition becomes an
-    equality on the month; the days are broadcast when a count shows they are few.
+    Intervals are spread over the months they touch within the span of the days, so the
+    range condition becomes an equality on the month; Spark broadcasts the days if their
+    measured size allows.
     """
     wanted = days.select(F.col(day).cast("date").alias("_d")).distinct()
-    wanted = small_side(wanted.withColumn("_dm", F.trunc("_d", "MM")))
-    spread = intervals.where(F.col(start) <= F.col(end)).withColumn(
-        "_m", F.explode(_months(F.col(start), F.col(end)))
+    span = wanted.agg(F.struct(F.min("_d").alias("low"), F.max("_d").alias("high")).alias("_span")).scalar()
+    wanted = wanted.withColumn("_dm", F.trunc("_d", "MM"))
+    cut = intervals.withColumn("_span", span)
+    low, high = F.greatest(F.col(start), F.col("_span.low")), F.least(F.col(end), F.col("_span.high"))
+    spread = cut.where((F.col(start) <= F.col(end)) & F.col("_span.low").isNotNull() & (low <= high)).withColumn(
+        "_m", F.explode(_months(low, high))
     )
     inside = (spread["_m"] == wanted["_dm"]) & wanted["_d"].between(F.col(start), F.col(end))
     return spread.join(wanted, inside, "inner").select(F.col("_d").alias(day), *intervals.columns)
@@ -178,7 +186,10 @@ def first_match_on(
     """For each (key, day) the value of the first covering interval, else the default.
 
     The join key is (key, month), which also cuts the history of one busy key into
-    months; repeated look-ups are counted first and given back at the end.
+    months. It is an inner join, so Spark may split the intervals of a busy month, and
+    matches are reduced to one per (key, day) on the map side; days without a match come
+    back by (key, day), unique on both sides. Repeated look-ups are counted first and given
+    back at the end.
     """
     order = list(order) or [start]
     asked = lookups.groupBy(F.col(key).alias("_k"), F.col(day).cast("date").alias("_d")).agg(
@@ -193,11 +204,11 @@ def first_match_on(
         & (asked["_dm"] == spread["_m"])
         & asked["_d"].between(spread[start], spread[end])
     )
-    found = asked.join(spread, covers, "left").groupBy("_k", "_d").agg(
-        F.max("_times").alias("_times"),
-        F.min_by(F.col(value), F.when(F.col("_m").isNotNull(), F.struct(*order))).alias("_value"),
+    found = asked.join(spread, covers).groupBy(F.col("_k").alias("_fk"), F.col("_d").alias("_fd")).agg(
+        F.min_by(F.col(value), F.struct(*order)).alias("_value")
     )
-    copies = found.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    answered = asked.join(found, (asked["_k"] == found["_fk"]) & (asked["_d"] == found["_fd"]), "left")
+    copies = answered.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return copies.select(
         F.col("_d").alias(day), F.col("_k").alias(key),
         F.coalesce("_value", F.lit(default)).alias(value),

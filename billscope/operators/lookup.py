@@ -11,13 +11,9 @@ from pyspark.sql import functions as F
 from billscope.operators.keyed import small_side
 from billscope.operators.ordered import at_most
 
-MAP_LIMIT = 1000
-
 
 def mapped(value: Column, mapping: Mapping[str, str], default: str | None = None) -> Column:
-    """Case-sensitive look-up in a short in-code mapping: no join at all."""
-    if len(mapping) > MAP_LIMIT:
-        raise ValueError("pass a long mapping as a DataFrame to lookup()")
+    """Case-sensitive look-up in an in-code mapping: no join at all. Long ones are better off in lookup()."""
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
     found = F.try_element_at(table, value)
     return found if default is None else F.coalesce(found, F.lit(default))
@@ -93,19 +89,20 @@ def keyword_category_from(
     other: str = "Outro",
     limit: int = 10_000,
 ) -> DataFrame:
-    """Same with a rule table (``priority, keyword, category``) of checked size.
+    """Same with a rule table (``priority, keyword, category``).
 
-    The sorted rules travel as one array, so each row is searched in place and no pair
-    of row and rule is ever emitted.
+    The sorted rules travel as arrays of about ``limit`` rules, so each row is searched in
+    place and no pair of row and rule is ever emitted; the first hit of all arrays counts.
     """
-    if not at_most(rules, limit):
-        raise ValueError(f"more than {limit} keyword rules")
-    ordered = rules.agg(
-        F.sort_array(F.collect_list(F.struct("priority", F.lower("keyword").alias("keyword"), "category"))).alias("r")
-    ).scalar()
-    lowered = F.lower(F.col(text))
-    first = F.get(F.filter(F.col("_rules"), lambda r: F.contains(lowered, r["keyword"])), F.lit(0))
+    parts = 1 if at_most(rules, limit) else -(-rules.count() // limit)
+    shown = rules.select(F.struct("priority", F.lower("keyword").alias("keyword"), "category").alias("r"))
+    lowered, firsts = F.lower(F.col(text)), []
+    for part in range(parts):
+        mine = shown.where(F.pmod(F.xxhash64("r"), F.lit(parts)) == part) if parts > 1 else shown
+        df = df.withColumn(f"_rules{part}", mine.agg(F.sort_array(F.collect_list("r")).alias("r")).scalar())
+        firsts.append(F.get(F.filter(F.col(f"_rules{part}"), lambda r: F.contains(lowered, r["keyword"])), F.lit(0)))
+    first = firsts[0] if parts == 1 else F.array_min(F.array_compact(F.array(*firsts)))
     answer = F.when(F.col(text).isNull(), F.lit(empty)).otherwise(
         F.coalesce(first["category"], F.lit(other))
     )
-    return df.withColumn("_rules", ordered).withColumn(name, answer).drop("_rules")
+    return df.withColumn(name, answer).drop(*[f"_rules{part}" for part in range(parts)])

@@ -56,10 +56,10 @@ def members(
     A short list becomes an ``IN``; a one-column DataFrame becomes a semi or anti join.
     """
     if not isinstance(values, DataFrame):
-        if len(values) > IN_LIST_LIMIT:
-            raise ValueError("pass a long list as a one-column DataFrame")
-        hit = F.coalesce(F.col(column).isin(*values), F.lit(False))
-        return df.where(hit if inside else ~hit)
+        if len(values) <= IN_LIST_LIMIT:
+            hit = F.coalesce(F.col(column).isin(*values), F.lit(False))
+            return df.where(hit if inside else ~hit)
+        values = df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", df.schema[column].dataType)]))
     side = small_side(values.select(F.col(values.columns[0]).alias("_v")).distinct())
     return df.join(side, df[column] == side["_v"], "left_semi" if inside else "left_anti")
 

@@ -73,13 +73,19 @@ def tfidf(
 
 def tfidf_vectors(
     df: DataFrame, text: str, output: str = "features", words: Sequence[str] = (),
-    min_df: int = 3, max_df: float = 0.8, vocabulary: int = 1 << 20,
+    min_df: int = 3, max_df: float = 0.8,
 ) -> DataFrame:
-    """The same weights as sparse vectors, for MLlib estimators."""
+    """The same weights as sparse vectors, for MLlib estimators.
+
+    The vocabulary is all terms that the document limits leave, as in ``tfidf``; MLlib's model
+    holds it on the driver.
+    """
     remover = StopWordsRemover(inputCol="_all", outputCol="_tokens", caseSensitive=True, stopWords=list(words))
     cut = remover.transform(df.withColumn("_all", tokens(F.col(text)))).drop("_all")
     counted = CountVectorizer(
-        inputCol="_tokens", outputCol="_tf", minDF=float(min_df), maxDF=float(max_df), vocabSize=vocabulary
+        inputCol="_tokens", outputCol="_tf", minDF=float(min_df), vocabSize=(1 << 31) - 1,
+        # MLlib reads 1.0 and more as a number of documents, less as a share of them
+        maxDF=float(max_df) if max_df < 1 else 2.0**62,
     ).fit(cut).transform(cut)
     idf = IDF(inputCol="_tf", outputCol="_x").fit(counted)
     scale = Vectors.dense(idf.idf.toArray() + 1.0)

@@ -46,20 +46,23 @@ def tenure(history: DataFrame, as_of: Column, chunks: int | None = None) -> Data
 def affiliation(history: DataFrame, as_of: Column, chunks: int | None = None) -> DataFrame:
     events = timed_events(history)
     spans = intervals.value_runs(
-        events, "id", ORDER, F.col("ts").cast("date"), "siglaPartido", as_of, chunks=chunks
+        events, "id", ORDER, F.col("ts").cast("date"), "siglaPartido", as_of, chunks=chunks, place="ordem"
     )
     return _named(events, spans).select(
-        "id", "nome", F.col("siglaPartido").alias("sigla_partido"), "data_entrada_partido", "data_saida_partido"
+        "id", "nome", F.col("siglaPartido").alias("sigla_partido"), "data_entrada_partido", "data_saida_partido", "ordem"
     )
 
 
 def members_by_date(tenures: DataFrame, affiliations: DataFrame, days: DataFrame, part_rows: int = 10_000) -> DataFrame:
     """Per day the members in office with their party on that day.
 
+    Of several parties on one day the first in the stored order of events counts.
     The seats are written down first: listing them in parts reads them twice.
     """
     active = intervals.active_on(tenures, days)
-    parties = intervals.first_match_on(active.select("id", "data"), affiliations, "id", "sigla_partido")
+    parties = intervals.first_match_on(
+        active.select("id", "data"), affiliations, "id", "sigla_partido", order=["ordem"] if "ordem" in affiliations.columns else ()
+    )
     member = F.struct("id", F.col("sigla_partido").alias("partido"))
     return intervals.collect_members(settle(parties), ["data"], member, F.col("id"), "partidos", part_rows)
 

@@ -31,7 +31,7 @@ def periods(spark, sf_dir):
 
 def runs(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("event_type", F.nullif("event_type", F.lit("view")))
-    return intervals.value_runs(events, "user_id", ["ts", "event_id"], day(), "event_type", as_of=as_of())
+    return intervals.value_runs(events, "user_id", ["ts", "event_id"], day(), "event_type", as_of=as_of(), place="place")
 
 
 PERIODS_SQL = f"""marks as (
@@ -60,7 +60,7 @@ RUNS_SQL = f"""e as (
   select user_id, v, day, ts, event_id, lead(day) over (partition by user_id order by ts, event_id) as next_day
   from e where v is distinct from p
 ), runs as (
-  select user_id, v as event_type, day as data_entrada_partido, coalesce(next_day, date '{AS_OF}') as data_saida_partido, ts
+  select user_id, v as event_type, day as data_entrada_partido, coalesce(next_day, date '{AS_OF}') as data_saida_partido, ts, event_id
   from heads where v is not null
 )"""
 
@@ -139,26 +139,15 @@ def j8_orders_in_transit(spark, sf_dir):
 @query("j9_asof_first_match", f"""
 with {RUNS_SQL}, asked as (select distinct user_id, ts::date as d from events),
 found as (
-  select a.user_id, a.d, arg_min(event_type, (data_entrada_partido, ts)) as v
+  select a.user_id, a.d, arg_min(event_type, (ts, event_id)) as v
   from asked a join runs r on a.user_id = r.user_id and a.d between data_entrada_partido and data_saida_partido group by 1, 2
 )
 select strftime(a.d, '%Y-%m-%d') as data, a.user_id, coalesce(v, 'Não encontrado') as event_type
 from asked a left join found f on a.user_id = f.user_id and a.d = f.d
 """)
 def j9_asof_first_match(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("event_type", F.nullif("event_type", F.lit("view")))
-    stamped = intervals.value_runs(
-        events, "user_id", ["ts", "event_id"], F.col("ts"), "event_type", F.lit(AS_OF).cast("timestamp_ntz")
-    )
-    closed = stamped.select(
-        "user_id", "event_type", F.col("data_entrada_partido").alias("started"),
-        F.col("data_entrada_partido").cast("date").alias("data_entrada_partido"),
-        F.col("data_saida_partido").cast("date").alias("data_saida_partido"),
-    )
     asked = table(spark, sf_dir, "events").select("user_id", day().alias("data")).distinct()
-    out = intervals.first_match_on(
-        asked, closed, "user_id", "event_type", order=["data_entrada_partido", "started"]
-    )
+    out = intervals.first_match_on(asked, runs(spark, sf_dir), "user_id", "event_type", order=["place"])
     return out.select(F.date_format("data", "yyyy-MM-dd").alias("data"), "user_id", "event_type")
 
 
@@ -169,7 +158,7 @@ KIND_BLOCS = {"signup": "Esquerda", "purchase": "Direita", "error": "Centrão"}
 with {PERIODS_SQL}, {RUNS_SQL}, days as (select distinct ts::date as d from events),
 seats as (select d, user_id, row_number() over () as seat from periods join days on d between data_entrada and data_saida),
 party as (
-  select s.d, s.seat, arg_min(r.event_type, (r.data_entrada_partido, r.data_saida_partido, r.event_type)) as v
+  select s.d, s.seat, arg_min(r.event_type, (r.ts, r.event_id)) as v
   from seats s left join runs r on s.user_id = r.user_id and s.d between r.data_entrada_partido and r.data_saida_partido group by 1, 2
 )
 select strftime(d, '%Y-%m-%d') as data, count(*) filter (v = 'signup') as qtd_esquerda,
@@ -181,7 +170,7 @@ def house_composition(spark, sf_dir):
     active = intervals.active_on(periods(spark, sf_dir), event_days(spark, sf_dir))
     parties = intervals.first_match_on(
         active.select("user_id", "data"), runs(spark, sf_dir), "user_id", "event_type",
-        order=["data_entrada_partido", "data_saida_partido", "event_type"],
+        order=["place"],
     )
     member = F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("partido"))
     members = intervals.collect_members(settle(parties), ["data"], member, F.col("user_id"), "partidos")

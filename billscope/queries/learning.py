@@ -87,26 +87,26 @@ def vector_rows(spark, sf_dir):
     """Embedding dimensions as columns, classes 0-2 against the rest, and a test mark."""
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", (F.col("label") < 3).cast("int").alias("label"), (F.col("vec_id") % 2).cast("int").alias("period"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)],
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)],
     )
     return prep.stratified_split(rows, "label", ["vec_id"])
 
 
-EIGHT = [f"e{i}" for i in range(8)]
+DIMENSIONS = [f"e{i}" for i in range(64)]
 
 
 def train_and_test(spark, sf_dir, scaled=False):
     rows = vector_rows(spark, sf_dir)
     if scaled:
-        rows = prep.standardise(rows.where("not is_test"), rows, EIGHT)
-    ready = models.assemble(rows, EIGHT)
+        rows = prep.standardise(rows.where("not is_test"), rows, DIMENSIONS)
+    ready = models.assemble(rows, DIMENSIONS)
     return ready.where("not is_test"), ready.where("is_test")
 
 
 @query("m6_logistic")
 def m6_logistic(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir)
-    return models.report(models.logistic(train, ["vec_id"], strengths=(0.01, 1.0)).transform(test))
+    return models.report(models.logistic(train, ["vec_id"]).transform(test))
 
 
 @query("m7_forest")
@@ -125,7 +125,7 @@ def m8_boosted(spark, sf_dir):
 @query("m9_mlp")
 def m9_mlp(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir, scaled=True)
-    search = models.neural_net(train, ["vec_id"], len(EIGHT), hidden=((10,), (5, 5)), steps=25)
+    search = models.neural_net(train, ["vec_id"], len(DIMENSIONS))
     return models.report(search.transform(test))
 
 
@@ -188,7 +188,7 @@ def attributed(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir)
     model = models.fixed_forest(train, trees=20, depth=6)
     rows = train.unionByName(test)
-    return explain.attributions(model, rows, "vec_id", EIGHT, explain.background(train, EIGHT), permutations=4)
+    return explain.attributions(model, rows, "vec_id", DIMENSIONS, explain.background(train, DIMENSIONS), permutations=4)
 
 
 @query("m14_attribution")

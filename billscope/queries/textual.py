@@ -285,7 +285,7 @@ def embedding_vectors(spark, sf_dir):
 @query("c5_kmeans")
 def c5_kmeans(spark, sf_dir):
     data = embedding_vectors(spark, sf_dir)
-    model = clusters.kmeans_best(data, 5, starts=3)
+    model = clusters.kmeans_best(data, 5)
     return model.transform(data).select("vec_id", "cluster")
 
 

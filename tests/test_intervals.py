@@ -155,3 +155,17 @@ def test_members_in_parts_lose_nothing(spark):
     )
     got = {r.g: (r.qtd_e, r.qtd_c) for r in intervals.sum_parts(counted, ["g"], ["qtd_e", "qtd_c"]).collect()}
     assert got == {"big": (47, 48), "small": (0, 0)}
+
+
+def test_runs_that_begin_on_one_day_keep_their_order(spark):
+    rows = [(1, "2024-01-01 08:00", "Z"), (1, "2024-01-01 09:00", "A"), (1, "2024-01-01 10:00", "M"), (2, "2024-01-05 00:00", "B")]
+    events = spark.createDataFrame(rows, "id long, t string, v string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    runs = intervals.value_runs(
+        events, "id", ["t"], F.col("t").cast("date"), "v", F.lit("2024-03-01").cast("date"), "a", "b", place="place"
+    )
+    asked = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-02-01"), (2, "2024-01-01")], "id long, data string")
+    asked = asked.withColumn("data", F.col("data").cast("date"))
+    got = intervals.first_match_on(asked, runs, "id", "v", start="a", end="b", order=["place"])
+    assert {(r.id, str(r.data)): r.v for r in got.collect()} == {
+        (1, "2024-01-01"): "Z", (1, "2024-02-01"): "M", (2, "2024-01-01"): intervals.NOT_FOUND
+    }

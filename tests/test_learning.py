@@ -104,7 +104,8 @@ def test_grid_search_and_periods(labelled):
 def test_attributions_add_up_to_the_prediction(labelled):
     columns = ["a", "b", "c"]
     model = models.fixed_forest(labelled, trees=10, depth=5)
-    reference = explain.background(labelled, columns, rows=20)
+    reference = explain.background(labelled, columns)
+    assert reference.count() == 240
     got = explain.attributions(model, labelled, "id", columns, reference, permutations=6)
     sums = got.groupBy("id").agg((F.sum("phi") + F.first("base")).alias("p"))
     predicted = model.transform(labelled).select("id", F.get(vector_to_array("probability"), F.lit(1)).alias("q"))
