@@ -133,9 +133,11 @@ def top_k(
     asked = settle(integers(queries, id_column, vector_column, scale))
     buckets = settle(_blocks(rows, BUCKET, rows.count()))
     blocks = settle(_blocks(asked, BLOCK, asked.count()))
-    # number of a bucket within its dimension, by falling length; one narrow row per bucket
-    order = Window.partitionBy("dim").orderBy(F.desc("longest"), "ids")
-    named = settle(buckets.withColumn("bucket", F.row_number().over(order)))
+    # number of a bucket within its dimension, by falling length; only a narrow row per bucket is ordered
+    buckets = buckets.withColumn("key", F.monotonically_increasing_id())
+    order = Window.partitionBy("dim").orderBy(F.desc("longest"), "key")
+    numbers = buckets.select("key", "dim", "longest").select("key", F.row_number().over(order).alias("bucket"))
+    named = settle(buckets.join(numbers, "key"))
     size = ["ids", "lengths", "matrix"]
     seeds = named.where("bucket = 1").select("dim", *[F.col(c).alias(f"b_{c}") for c in size])
 
