@@ -164,22 +164,25 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     ranges = settle(map_arrays(
         docs.select(*KEY, "text"), find, "doc_id long, digest long, bucket long, variant long, at long"
     ))
-    shared = (
+    # counts are written before they are joined, so that Spark may split the side of a hot bucket
+    shared = settle(
         ranges.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("variant").alias("low"), F.max("variant").alias("high"))
         .where("n > 1").select("bucket", (F.col("low") != F.col("high")).alias("mixed"))
     )
     members = settle(ranges.join(shared, "bucket"))
     release(ranges)
     mixed = members.where("mixed")
-    variants = mixed.groupBy("bucket", "variant").agg(
+    variants = settle(mixed.groupBy("bucket", "variant").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "at")).alias("one")
-    )
+    ))
     repeated = mixed.join(variants.where("copies > 1").select("bucket", "variant"), ["bucket", "variant"])
     found = members.where(~F.col("mixed")).select(*KEY, "at").unionByName(repeated.select(*KEY, "at")).select(
         *KEY, *_unpack(F.col("at"))
     ).select(*KEY, F.col("first").alias("start"), (F.col("first") + F.col("n") + F.lit(length - 1)).alias("end"))
     groups = settle(_groups(docs, variants.select("bucket", "variant", "copies", "one.*"), depths))
-    found = found.unionByName(_refined(groups, depths))
+    found = settle(found.unionByName(_refined(groups, depths)))
+    for table in (shared, members, variants, groups):
+        release(table)
     return found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -236,7 +239,7 @@ def _groups(docs: DataFrame, variants: DataFrame, depths: Depths) -> DataFrame:
 def _refined(groups: DataFrame, depths: Depths) -> DataFrame:
     """Spans of the variants with one copy whose groups or single suffixes repeat."""
     at = ["bucket", "step", "core"]
-    shared = (
+    shared = settle(
         groups.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
         .where("n > 1").select(*at, (F.col("low") != F.col("high")).alias("mixed"))
     )
@@ -251,7 +254,7 @@ def _refined(groups: DataFrame, depths: Depths) -> DataFrame:
         *KEY, "bucket", "copies", (F.col("start") + F.col("i")).alias("start"), (F.col("ahead") - F.col("i")).alias("ahead"), "string"
     )
     string = ["bucket", "ahead", "string"]
-    repeated = single.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*string)
+    repeated = settle(single.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*string))
     alone = single.where("copies = 1").join(repeated, string).select(
         *KEY, "start", (F.col("start") + F.lit(depths.length)).alias("end")
     )
