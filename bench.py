@@ -16,7 +16,8 @@ HEADLINE = [
     "c6_nearest_centroid", "c8_silhouette_1d", "c9_davies_bouldin", "f1_split_trim", "f3_first_uf", "j1_enrich_authors",
     "j2_first_last_movement", "j6_month_key_join", "j8_active_on_date", "j9_asof_first_match",
     "j11_keyword_rules_exact", "m3_stratified_split", "p13_faceted_search", "s1_paged_scan", "w1_duplicate_flag",
-    "w2_open_close_periods", "w3_value_runs",
+    "w2_open_close_periods", "w3_value_runs", "a18_density", "c5_kmeans", "c7_k_sweep", "m6_logistic",
+    "m14_attribution",
 ]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -17,6 +18,7 @@ from billscope.operators.keyed import attach
 from billscope.operators.ordered import CHUNK, at_most, running_sums, with_chunks
 
 CLUSTER_LIMIT = 10_000
+PARALLEL_STARTS = 8
 
 
 def _array(df: DataFrame, column: str) -> Column:
@@ -39,10 +41,12 @@ def kmeans_best(
     data = df.select(features, *([weight] if weight else [])).persist()
     extra = {"weightCol": weight} if weight else {}
     try:
-        models = [
-            KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed + i, **extra).fit(data)
-            for i in range(starts)
-        ]
+        def fit(i: int) -> KMeansModel:
+            return KMeans(k=k, featuresCol=features, predictionCol="cluster", seed=seed + i, **extra).fit(data)
+
+        # starts are independent jobs; together they fill the cores that one leaves idle
+        with ThreadPoolExecutor(min(starts, PARALLEL_STARTS)) as pool:
+            models = list(pool.map(fit, range(starts)))
     finally:
         data.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
@@ -197,21 +201,15 @@ def davies_bouldin(df: DataFrame, vector: str, cluster: str) -> DataFrame:
 def calinski_harabasz(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     """(between / (k-1)) / (within / (n-k)); all from the per-cluster summaries."""
     stats = centroids_of(df, vector, cluster)
-    totals = stats.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("within").alias("within"),
-        F.collect_list(F.struct("n", "centroid")).alias("all"),
+    # the grand mean is summed per dimension; clusters never meet in one row
+    each = stats.select("n", F.posexplode("centroid").alias("at", "x")).groupBy("at").agg(
+        (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m")
     )
-    first = F.get("all", F.lit(0))["centroid"]
-    zero = F.transform(first, lambda x: F.lit(0.0))
-    middle = F.aggregate(
-        "all", zero,
-        lambda acc, c: F.zip_with(acc, c["centroid"], lambda a, x: a + x * c["n"]),
-        lambda acc: F.transform(acc, lambda a: a / F.col("n")),
-    )
-    between = F.aggregate(
-        "all", F.lit(0.0), lambda acc, c: acc + c["n"] * squared_distance(c["centroid"], F.col("middle"))
+    middle = each.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "m"))), lambda e: e["m"]).alias("v")).scalar()
+    done = stats.withColumn("_middle", middle).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("within").alias("within"),
+        F.sum(F.col("n") * squared_distance(F.col("centroid"), F.col("_middle"))).alias("between"),
     )
-    done = totals.withColumn("middle", middle).withColumn("between", between)
     value = F.try_divide(
         F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k"))
     )

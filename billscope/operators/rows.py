@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from billscope.operators.keyed import small_side
-from billscope.operators.ordered import row_numbers
+from billscope.operators.ordered import at_most, chunk_count, row_numbers
 
 IN_LIST_LIMIT = 1000
+#: Rows with texts or lists that one task orders; at 20,000 words a row still some hundred MB.
+WIDE_ROWS = 5000
 
 
 def keep_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -19,8 +21,14 @@ def keep_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def add_row_id(df: DataFrame, order: Sequence[str], name: str = "ID") -> DataFrame:
-    """0-based position in the given total order; take it before rows are dropped."""
-    numbered = row_numbers(df, [], order, "_row")
+    """0-based position in the given total order; take it before rows are dropped.
+
+    Only a short table passes one task, and of rows that hold texts or lists a much shorter one.
+    """
+    narrow = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    wide = not all(isinstance(f.dataType, narrow) for f in df.schema.fields)
+    chunks = chunk_count(df) if wide and not at_most(df, WIDE_ROWS) else None
+    numbered = row_numbers(df, [], order, "_row", chunks)
     return numbered.withColumn(name, F.col("_row") - 1).drop("_row")
 
 

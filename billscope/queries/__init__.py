@@ -2,6 +2,7 @@
 
 from billscope.queries import (  # noqa: F401
     aggregates,
+    chains,
     enrichment,
     histories,
     learning,

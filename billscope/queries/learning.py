@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from billscope.operators import explain, models, prep
@@ -109,6 +110,20 @@ def m6_logistic(spark, sf_dir):
     return models.report(models.logistic(train, ["vec_id"]).transform(test))
 
 
+@query("m6_report_adds_up", """
+with c as (select (label < 3)::int as label, count(*) as n from embeddings group by 1), t as (select label, floor(n * 0.2 + 0.5)::bigint as s from c)
+select label::varchar as class, s as support from t
+union all select 'accuracy', sum(s)::bigint from t
+union all select 'macro avg', sum(s)::bigint from t
+union all select 'weighted avg', sum(s)::bigint from t
+""")
+def m6_report_adds_up(spark, sf_dir):
+    """Test rows per class that a fitted model's report counts."""
+    train, test = train_and_test(spark, sf_dir)
+    model = models.logistic(train, ["vec_id"], strengths=(1.0,))
+    return models.report(model.transform(test)).select("class", "support")
+
+
 @query("m7_forest")
 def m7_forest(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir)
@@ -125,7 +140,7 @@ def m8_boosted(spark, sf_dir):
 @query("m9_mlp")
 def m9_mlp(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir, scaled=True)
-    search = models.neural_net(train, ["vec_id"], len(DIMENSIONS))
+    search = models.neural_net(train, ["vec_id"], len(DIMENSIONS), steps=50)
     return models.report(search.transform(test))
 
 
@@ -184,11 +199,26 @@ def m12_confusion(spark, sf_dir):
     return models.confusion(judged, [0, 1, 2], "toxic", "said")
 
 
-def attributed(spark, sf_dir):
+def attributed_model(spark, sf_dir, permutations=10):
+    """A forest, the rows it is asked about and their attributions."""
     train, test = train_and_test(spark, sf_dir)
     model = models.fixed_forest(train, trees=20, depth=6)
     rows = train.unionByName(test)
-    return explain.attributions(model, rows, "vec_id", DIMENSIONS, explain.background(train, DIMENSIONS), permutations=4)
+    reference = explain.background(train, DIMENSIONS)
+    return model, rows, explain.attributions(model, rows, "vec_id", DIMENSIONS, reference, permutations)
+
+
+def attributed(spark, sf_dir):
+    return attributed_model(spark, sf_dir)[2]
+
+
+@query("m14_additivity", "select vec_id, true as adds_up from embeddings")
+def m14_additivity(spark, sf_dir):
+    """Whether base and attributions of each row add up to the model's probability."""
+    model, rows, parts = attributed_model(spark, sf_dir, permutations=2)
+    sums = parts.groupBy("vec_id").agg((F.sum("phi") + F.first("base")).alias("p"))
+    said = model.transform(rows).select(F.col("vec_id").alias("_id"), F.get(vector_to_array("probability"), F.lit(1)).alias("q"))
+    return sums.join(said, F.col("vec_id") == F.col("_id")).select("vec_id", (F.abs(F.col("p") - F.col("q")) < 1e-9).alias("adds_up"))
 
 
 @query("m14_attribution")
