@@ -67,6 +67,18 @@ def s1_paged_scan(spark, sf_dir):
     )
 
 
+@query("s1_capped_scan", PAGE_CTE + """
+select ano, tipo, pagina, count(*) as n_items
+from placed where pagina < broken and (tipo <> 'A' or pagina < 2) and pagina <= 3 group by ano, tipo, pagina
+""")
+def s1_capped_scan(spark, sf_dir):
+    """Pages up to the third; runs of one kind fail with a server error on their second page."""
+    pages = landed.read_json(spark, landed_pages(spark, sf_dir), landed.PAGE)
+    failing = (F.col("tipo") == "A") & (F.col("pagina") == 2)
+    pages = pages.withColumn("status", F.when(failing, 503).otherwise(F.col("status")))
+    return landed.usable_pages(pages, cap=3).select("ano", "tipo", "pagina", F.size("dados").cast("long").alias("n_items"))
+
+
 @query("s2_project_items", PAGE_CTE + """
 select l_orderkey as id, l_linestatus as tipo, l_linenumber as numero, ano,
        concat_ws(' ', 'part', l_partkey, 'supplier', l_suppkey) as ementa

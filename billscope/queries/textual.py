@@ -87,6 +87,28 @@ def c4_weighted_best_similarity(spark, sf_dir):
     return scored.select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("j12_row_matrix", f"""
+with p as (
+  select doc_id, unnest(parts) as part, unnest(range(0, len(parts))) as i from {PARTS}
+), pv as (select doc_id, i, {profile_sql('part')} as v from p),
+t as (select doc_id, unnest([source, lang]) as theme, unnest([0, 1]) as j from documents),
+tv as (select doc_id, j, {profile_sql('theme')} as v from t)
+select pv.doc_id, i::int as part, j::int as theme,
+       round(case when list_sum(pv.v) = 0 or list_sum(tv.v) = 0 then 0 else list_cosine_similarity(pv.v, tv.v) end, 6) as similarity
+from pv join tv on pv.doc_id = tv.doc_id
+""")
+def j12_row_matrix(spark, sf_dir):
+    """Every sub-text of a row against every theme of the same row."""
+    rows = texts(spark, sf_dir, "source", "lang").select(
+        "doc_id", embed.letter_profiles(text.split_trim(F.col("text"))).alias("pv"),
+        embed.letter_profiles(F.array("source", "lang")).alias("tv"),
+    )
+    matrix = rows.select("doc_id", F.posexplode(embed.similarity_matrix(F.col("pv"), F.col("tv"))).alias("part", "cells"))
+    return matrix.select("doc_id", "part", F.posexplode("cells").alias("theme", "s")).select(
+        "doc_id", "part", "theme", F.round("s", 6).alias("similarity")
+    )
+
+
 @query("f19_length_weights", f"""
 with p as (select doc_id, unnest(parts) as part from {PARTS}),
 w as (select doc_id, length(part)::double / sum(length(part)) over (partition by doc_id) as w from p)
