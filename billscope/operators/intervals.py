@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billscope.functions.text import clean_symbol
-from billscope.operators.keyed import attach_aggregates, small_side
+from billscope.operators.keyed import attach_aggregates
 from billscope.operators.lookup import mapped
 from billscope.operators.ordered import (
     CHUNK,
@@ -226,7 +226,7 @@ def collect_members(
     are looked up.
     """
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)
-    large = small_side(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n"))
+    large = large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
     rows = df.select(*keys, members.alias("_m"), F.xxhash64(spread).alias("_h"))
     same = [rows[k].eqNullSafe(large[f"_k{i}"]) for i, k in enumerate(keys)]
     rows = rows.join(large, reduce(lambda a, b: a & b, same), "left")

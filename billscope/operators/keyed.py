@@ -13,11 +13,20 @@ from billscope.operators.ordered import at_most
 HOT_SHARE = 1000
 SPREAD = 4096
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a count shows it is small; otherwise Spark picks the join."""
-    return F.broadcast(df) if at_most(df, rows) else df
+    """Broadcast ``df`` when its rows and the bytes of its texts are few; otherwise Spark picks the join."""
+    if not at_most(df, rows):
+        return df
+    narrow = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    sizes = [F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema.fields if not isinstance(f.dataType, narrow)]
+    if sizes:
+        found = df.agg(*[F.sum(s.cast("long")).alias(f"s{i}") for i, s in enumerate(sizes)]).first()
+        if sum(x or 0 for x in found) > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df)
 
 
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:

@@ -55,8 +55,7 @@ def month_of(moment: Column) -> Column:
 def join_by_month(facts: DataFrame, moment: str, monthly: DataFrame, month: str) -> DataFrame:
     """Left join of facts to one row per month; month keys compare as dates."""
     keyed = facts.withColumn("_month", month_of(F.col(moment)))
-    side = monthly.withColumn("_side_month", month_of(F.col(month))).drop(month)
-    side = small_side(side)
+    side = monthly.withColumn("_side_month", month_of(F.col(month))).drop(month)  # Spark broadcasts it by its size
     return keyed.join(side, keyed["_month"] == side["_side_month"], "left").drop("_side_month", "_month")
 
 

@@ -88,7 +88,8 @@ def _closest(
     asked: np.ndarray, points: np.ndarray, counts: np.ndarray, k: int, radius: np.ndarray | None = None
 ) -> list[list[dict]]:
     """The k closest points of each asked vector, itself left out, within its radius."""
-    out = []
+    order = np.lexsort(points.T[::-1])  # ties at one distance then go by the vector itself
+    points, counts, out = points[order], counts[order], []
     block = max(1, BLOCK_NUMBERS // max(1, points.size))
     for start in range(0, len(asked), block):
         part = asked[start:start + block]
@@ -97,14 +98,9 @@ def _closest(
         square[same] = np.inf
         if radius is not None:
             square[square > radius[start:start + block, None]] = np.inf
-        take = min(k, square.shape[1])
-        near = np.argpartition(square, take - 1, axis=1)[:, :take]
-        # argpartition breaks ties at the k-th place freely; settle them by the vector itself
-        for i, row in enumerate(square):
-            bound = row[near[i]].max()
-            ties = np.flatnonzero((row <= bound) & np.isfinite(row))
-            found = sorted((float(row[j]), points[j].tolist(), int(counts[j])) for j in ties)
-            out.append([{"d": d, "v": v, "n": n} for d, v, n in found[:k]])
+        near = np.argsort(square, axis=1, kind="stable")[:, :k]
+        found = zip(np.take_along_axis(square, near, 1).tolist(), points[near].tolist(), counts[near].tolist())
+        out += [[{"d": d, "v": v, "n": n} for d, v, n in zip(*row) if d < np.inf] for row in found]
     return out
 
 

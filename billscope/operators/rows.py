@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from billscope.operators.keyed import small_side
 from billscope.operators.ordered import at_most, chunk_count, row_numbers
 
 IN_LIST_LIMIT = 1000
@@ -68,7 +67,7 @@ def members(
             hit = F.coalesce(F.col(column).isin(*values), F.lit(False))
             return df.where(hit if inside else ~hit)
         values = df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", df.schema[column].dataType)]))
-    side = small_side(values.select(F.col(values.columns[0]).alias("_v")).distinct())
+    side = values.select(F.col(values.columns[0]).alias("_v")).distinct()
     return df.join(side, df[column] == side["_v"], "left_semi" if inside else "left_anti")
 
 

@@ -206,3 +206,22 @@ def test_column_report_goes_on_over_a_bad_file(spark, tmp_path):
     got = {(r.table_name, r.column_name): (r.column_type, r.non_null) for r in tables.column_report(opened).collect()}
     assert got[("good", "a")] == ("int", 2) and got[("good", "b")] == ("string", 1)
     assert got[("gone", None)][0].startswith("error")
+
+
+def test_many_rules_and_long_lists_give_the_same_rows(spark):
+    rules = spark.createDataFrame([(i, f"word{i}", f"c{i}") for i in range(12)], "priority int, keyword string, category string")
+    frame = spark.createDataFrame(
+        [(1, "x WORD7 word3"), (2, "word11"), (3, "none"), (4, None)], "id int, t string"
+    )
+    whole = lookup.keyword_category_from(frame, "t", rules, "c").collect()
+    parts = lookup.keyword_category_from(frame, "t", rules, "c", limit=3).collect()
+    assert sorted(whole) == sorted(parts) and {r.id: r.c for r in parts} == {1: "c3", 2: "c1", 3: "Outro", 4: "Indefinido"}
+    numbers = spark.range(3000).withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id")))
+    assert rows.members(numbers, "id", list(range(1500))).count() == 1200
+    assert rows.members(numbers, "id", list(range(1500)), inside=False).count() == 1800
+
+
+def test_wide_rows_are_numbered_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(rows, "WIDE_ROWS", 10)
+    frame = spark.range(500).select(F.pmod(F.col("id") * 37, F.lit(500)).alias("k"), F.lit("text").alias("t"))
+    assert rows.add_row_id(frame, ["k"]).where("ID <> k").count() == 0

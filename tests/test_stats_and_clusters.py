@@ -183,3 +183,11 @@ def test_sweep_picks_the_true_number_of_bands(spark):
     rows = [(band * 100 + i * 0.01,) for band in range(3) for i in range(20)]
     best, table, model = clusters.k_sweep(spark.createDataFrame(rows, "x double"), "x", ks=(2, 3, 5), starts=2)
     assert best == 3 and table.count() == 3 and len(model.clusterCenters()) == 3
+
+
+def test_many_centroids_travel_in_parts(spark):
+    centroids = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "cluster int, centroid array<double>")
+    frame = spark.createDataFrame([(i, [i * 0.7, 1.0]) for i in range(28)], "id int, v array<double>")
+    whole = clusters.nearest_centroid(frame, "v", centroids).select("id", "cluster", "distance").collect()
+    parts = clusters.nearest_centroid(frame, "v", centroids, limit=3).select("id", "cluster", "distance").collect()
+    assert sorted(whole) == sorted(parts)
