@@ -13,8 +13,9 @@ lie in the feasible interval of the query's largest coordinates; with a low one,
 compared. Products of what is left are computed in exact integers.
 
 Vectors that are null, empty or hold a null or non-finite component take no part, nor do those
-whose squared integer length passes 63 bits. Only vectors of one dimension meet. Of several rows
-with one id the least vector counts; rows without an id take no part. Ties go to the smaller id.
+whose squared integer length passes 62 bits. Only vectors of one dimension meet. Rows that repeat
+an id and its vector are one; different vectors of one id are all candidates, and as queries share
+one list of k. No row meets its own id; rows without an id take no part. Ties go to the smaller id.
 An empty table gives no rows.
 """
 
@@ -41,12 +42,13 @@ def integers(df: DataFrame, id_column: str, vector_column: str, scale: int) -> D
     """vec_id, dim, length and the integer vector as 64-bit bytes, of the vectors that take part."""
     rows = pick(df, vec_id=id_column, v=vector_column).where("vec_id is not null and v is not null").select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")
-    ).groupBy("vec_id").agg(F.min("v").alias("v"))
+    ).where(
+        # before copies meet, so that no broken vector stands for a good one of its id
+        (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    ).distinct()
 
     def work(batches: Iterator[pa.RecordBatch]):
         for vec, values in each_row(batches, 1000):
-            if not values or None in values:
-                continue
             scaled = np.floor(scale * np.array(values))
             if not np.isfinite(scaled).all() or float(scaled @ scaled) >= 2.0**62:
                 continue
@@ -149,8 +151,8 @@ def top_k(
             for q, _, score in best(query, _unpacked(*both[3:]), kth, k):
                 found.setdefault(q, []).append(score)
             for i, q in enumerate(query[0].tolist()):
-                if len(found.get(q, ())) == k:
-                    kth[i] = found[q][-1]
+                if len(found.get(q, ())) >= k:  # more than k where an id has several vectors
+                    kth[i] = sorted(found[q])[-k]
             need = np.divide(kth.astype(float), query[1], out=np.full(len(kth), -np.inf), where=query[1] > 0)
             yield dim, *both[:3], kth.astype("<i8").tobytes(), float(need.min())
 

@@ -184,3 +184,10 @@ def test_top_k_of_large_integers_and_of_nothing(spark):
     assert got == [(2, 1, 0, 3 * 10**16 + 7), (2, 2, 1, 2 * 10**8 - 7 * 10**8)]
     none = spark.createDataFrame([], VECTORS)
     assert topk.top_k(none, none).count() == 0
+
+
+def test_top_k_keeps_every_good_row_of_an_id(spark):
+    rows = [(5, [None, 1.0]), (5, []), (5, [1.0, 1.0]), (5, [3.0, 0.0]), (6, [2.0, 1.0]), (6, [float("nan"), 9.0]), (7, [0.0, 5.0]), (7, None)]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    got = sorted(map(tuple, topk.top_k(frame, frame, k=2, scale=1).collect()))
+    assert got == [(5, 1, 6, 6), (5, 2, 7, 5), (6, 1, 5, 6), (6, 2, 7, 5), (7, 1, 5, 5), (7, 2, 6, 5)]
