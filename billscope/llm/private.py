@@ -23,6 +23,8 @@ no rows. Work on a text is linear in its length.
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -47,6 +49,8 @@ DIGIT = re.compile(r"[0-9]")
 EDGES = ".,;:!?()[]{}<>\"'"
 #: Patterns that a check shows to be few enough travel with the counting tasks.
 CARRIED_PATTERNS = 200_000
+#: Characters from which a word of a pattern goes by its digest.
+LONG_WORD = 256
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -87,12 +91,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def pattern_before(text: str, start: int) -> str | None:
-    """The two words before an offset in lower case, if both stand in the text."""
-    words = text[max(0, start - 200) : start].split()
-    glued = start and not text[start - 1].isspace()
-    words = words[:-1] if glued else words
-    return " ".join(words[-2:]).lower() if len(words) >= 2 else None
+def _key(word: str) -> str:
+    """A word in lower case as part of a pattern; very long ones by their digest, so patterns stay short."""
+    low = word.lower()
+    return low if len(low) <= LONG_WORD else "#" + hashlib.sha256(low.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+class Before:
+    """The two whole words before an offset, in words by the six separators."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts: list[int] | None = None
+
+    def pattern(self, start: int) -> str | None:
+        if self.starts is None:
+            spans = [m.span() for m in TOKEN.finditer(self.text)]
+            self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        i = bisect.bisect_right(self.starts, start) - 1  # the word that holds the offset
+        if i < 2:
+            return None
+        return " ".join(_key(self.text[self.starts[j] : self.ends[j]]) for j in (i - 2, i - 1))
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -121,13 +140,13 @@ def read_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def work(batches: Iterator[pa.RecordBatch]):
         for doc, digest, text in each_row(batches):
             base = base_spans(text)
-            seen = []
+            seen, before = [], Before(text)
             for start, kind, end in base:
-                pattern = pattern_before(text, start)
+                pattern = before.pattern(start)
                 if pattern:
                     seen.append((pattern, f"{KINDS[kind]}:{text[start:end]}", True, start, end))
             for start, end in candidates(text, base):
-                pattern = pattern_before(text, start)
+                pattern = before.pattern(start)
                 if pattern:
                     seen.append((pattern, f"id:{text[start:end]}", False, start, end))
             yield (
@@ -146,27 +165,26 @@ def read_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def count_patterns(docs: DataFrame, patterns: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(pattern, total): how often the two words of each pattern follow each other in all texts."""
     texts = documents(docs, id_column, text_column).select("text")
-    if at_most(patterns, CARRIED_PATTERNS):
-        wanted = frozenset(r.pattern for r in patterns.collect())
-        first = frozenset(p.split(" ", 1)[0] for p in wanted)
-
-        def work(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
-                counts: Counter[str] = Counter()
-                for (text,) in each_row(iter([batch])):
-                    words = text.lower().split()
-                    counts.update(
-                        pair for a, b in zip(words, words[1:], strict=False) if a in first and (pair := f"{a} {b}") in wanted
-                    )
-                yield from counts.items()
-
-        found = map_batches(texts, work, "pattern string, n long")
-        return found.groupBy("pattern").agg(F.sum("n").alias("total"))
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    pairs = texts.select(words.alias("w")).select(
-        F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).alias("pattern")
-    )
-    return pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(patterns, "pattern", "left_semi")
+    carried = at_most(patterns, CARRIED_PATTERNS)
+    wanted = frozenset(r.pattern for r in patterns.collect()) if carried else None
+    first = frozenset(p.split(" ", 1)[0] for p in wanted) if carried else None
+
+    # both ways split and lower alike, they differ in where the pairs meet the patterns
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for (text,) in each_row(iter([batch])):
+                # of bytes, split() takes exactly the six separators
+                words = [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+                words = [_key(w) for w in words] if max(map(len, words), default=0) > LONG_WORD // 4 else " ".join(words).lower().split(" ")
+                counts.update(
+                    f"{a} {b}" for a, b in zip(words, words[1:], strict=False)
+                    if wanted is None or a in first and f"{a} {b}" in wanted
+                )
+            yield from counts.items()
+
+    found = map_batches(texts, work, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    return found if carried else found.join(patterns, "pattern", "left_semi")
 
 
 def trusted_patterns(
@@ -184,7 +202,7 @@ def trusted_patterns(
     for _ in range(rounds):
         trusted = settle(
             edges.join(scores, "instance").groupBy("pattern")
-            # splitting words by any white space can count less than the patterns found, never more
+            # a word that holds several entities stands once after its pattern
             .agg((F.sum(F.col("n") * F.col("score")) / F.greatest(F.first("total"), F.sum("n"))).alias("confidence"))
             .where(F.col("confidence") >= confidence)
         )

@@ -191,3 +191,14 @@ def test_top_k_keeps_every_good_row_of_an_id(spark):
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
     got = sorted(map(tuple, topk.top_k(frame, frame, k=2, scale=1).collect()))
     assert got == [(5, 1, 6, 6), (5, 2, 7, 5), (6, 1, 5, 6), (6, 2, 7, 5), (7, 1, 5, 5), (7, 2, 6, 5)]
+
+
+def test_no_break_spaces_count_the_same_in_both_ways(spark, monkeypatch):
+    texts = ["bei Tel.\u00a0: +49 30 1234567", "bei\u3000x TEL.\u00a0: 5a", "a\x1cb c\x85d e\vf", "x" * 300 + " \u0130Y " + "x" * 300 + " \u0130y"]
+    frame = docs(spark, list(enumerate(texts)))
+    wanted = {(p, n) for p, n in ((f"{private._key('x' * 300)} i\u0307y", 2), ("bei tel.\u00a0:", 1), ("bei\u3000x tel.\u00a0:", 1), ("a\x1cb c\x85d", 1), ("c\x85d e", 1))}
+    patterns = spark.createDataFrame([(p,) for p, _ in wanted], "pattern string")
+    assert {tuple(r) for r in private.count_patterns(frame, patterns).collect()} == wanted
+    monkeypatch.setattr(private, "CARRIED_PATTERNS", 1)
+    assert {tuple(r) for r in private.count_patterns(frame, patterns).collect()} == wanted
+    assert private.Before(texts[0]).pattern(texts[0].index("+")) == "bei tel.\u00a0:"
