@@ -8,12 +8,15 @@ the graph of patterns and instances in rounds:
     confidence(pattern)  = sum of score(instance) over its occurrences / occurrences of the two words
     score(instance)      = 1 for a seed, else 1 - product of (1 - confidence) over trusted patterns
 
-A pattern is trusted with at least ``support`` different seed instances and ``confidence``; the
-occurrences of its words are counted over the whole corpus, whatever follows them, so words that
-merely happen to stand before an address once are worth nothing. Candidates behind patterns that
-are trusted after the last round are spans of the kind ``id``.
-
-Texts are read twice, once for spans and once to count words; the rest works on the few tokens
+A pattern is trusted with at least ``support`` different instances, seeds or found ones, and
+``confidence``; the occurrences of its words are counted over the whole corpus, whatever follows
+them, so words that merely happen to stand before an address once are worth nothing. Each round
+adds the patterns that instances found in the last one support, until no confidence rises any more.
+Candidates found behind a trusted pattern are spans of the kind ``id`` wherever they stand.
+Candidates are tokens of four or more characters with a digit; identifiers without a digit are not
+looked for.
+
+Texts are read once for spans and once for each round that brings new patterns; the rest works on the few tokens
 with digits. Occurrences of a pattern are summed before they meet their scores, so a pattern or
 an instance with a third of all occurrences is one row.
 
@@ -51,6 +54,8 @@ EDGES = ".,;:!?()[]{}<>\"'"
 CARRIED_PATTERNS = 200_000
 #: Characters from which a word of a pattern goes by its digest.
 LONG_WORD = 256
+#: Confidences that rise by no more than this have come to rest.
+SETTLED = 1e-9
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -146,9 +151,8 @@ def read_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 if pattern:
                     seen.append((pattern, f"{KINDS[kind]}:{text[start:end]}", True, start, end))
             for start, end in candidates(text, base):
-                pattern = before.pattern(start)
-                if pattern:
-                    seen.append((pattern, f"id:{text[start:end]}", False, start, end))
+                # without two words before it a candidate can still be found by its other occurrences
+                seen.append((before.pattern(start), f"id:{text[start:end]}", False, start, end))
             yield (
                 doc, digest, [{"start": a, "kind": k, "end": b} for a, k, b in base],
                 [dict(zip(("pattern", "instance", "seed", "start", "end"), x, strict=True)) for x in seen],
@@ -187,41 +191,71 @@ def count_patterns(docs: DataFrame, patterns: DataFrame, id_column: str = "doc_i
     return found if carried else found.join(patterns, "pattern", "left_semi")
 
 
-def trusted_patterns(
-    docs: DataFrame, read: DataFrame, support: int = 5, confidence: float = 0.6, rounds: int = 3,
+def bootstrap(
+    docs: DataFrame, read: DataFrame, support: int = 5, confidence: float = 0.6, rounds: int | None = None,
     id_column: str = "doc_id", text_column: str = "text",
-) -> DataFrame:
-    """Patterns (pattern, confidence) that the bootstrap trusts after its last round."""
+) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns (pattern, confidence) and scored instances (instance, score) at the fixed point.
+
+    ``rounds`` only bounds the search where a caller asks for it.
+    """
     graph = settle(
-        read.select(F.explode("seen").alias("s")).groupBy("s.pattern", "s.instance", "s.seed").agg(F.count(F.lit(1)).alias("n"))
+        read.select(F.explode("seen").alias("s")).where("s.pattern is not null")
+        .groupBy("s.pattern", "s.instance", "s.seed").agg(F.count(F.lit(1)).alias("n"))
     )
-    supported = graph.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    totals = settle(count_patterns(docs, settle(supported.select("pattern")), id_column, text_column))
-    edges = settle(graph.join(totals, "pattern"))
-    scores = edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0))
-    for _ in range(rounds):
+    seeds = settle(graph.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0)))
+    scores, totals, last, done = seeds, None, None, 0
+    while True:
+        # instances trusted so far support patterns; those that are new are counted over all texts
+        supported = graph.join(scores, "instance").groupBy("pattern").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= support)
+        new = supported.select("pattern")
+        new = settle(new if totals is None else new.join(totals, "pattern", "left_anti"))
+        grown = totals is None or not new.isEmpty()
+        if grown:
+            counted = count_patterns(docs, new, id_column, text_column)
+            totals = settle(counted if totals is None else totals.unionByName(counted))
         trusted = settle(
-            edges.join(scores, "instance").groupBy("pattern")
+            graph.join(totals, "pattern").join(scores, "instance").groupBy("pattern")
             # a word that holds several entities stands once after its pattern
             .agg((F.sum(F.col("n") * F.col("score")) / F.greatest(F.first("total"), F.sum("n"))).alias("confidence"))
             .where(F.col("confidence") >= confidence)
         )
+        # confidences only rise, so the rounds end
+        moved = trusted if last is None else trusted.join(last.withColumnRenamed("confidence", "was"), "pattern", "left").where(
+            F.col("was").isNull() | (F.col("confidence") - F.col("was") > SETTLED)
+        )
+        done += 1
+        still = moved.isEmpty()
+        if still and last is not None:
+            break
         # noisy-or over the trusted patterns of a candidate; a confidence of one leaves nothing
         left = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))
-        found = edges.where(~F.col("seed")).join(trusted, "pattern").groupBy("instance").agg((1 - left).alias("score"))
-        scores = settle(edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0)).unionByName(found))
-    return trusted
+        found = graph.where(~F.col("seed")).join(trusted, "pattern").groupBy("instance").agg((1 - left).alias("score"))
+        scores, last = settle(seeds.unionByName(found)), trusted
+        if still or done == rounds:
+            break
+    return trusted, scores
+
+
+def trusted_patterns(
+    docs: DataFrame, read: DataFrame, support: int = 5, confidence: float = 0.6, rounds: int | None = None,
+    id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
+    """Patterns (pattern, confidence) that the bootstrap trusts after its last round."""
+    return bootstrap(docs, read, support, confidence, rounds, id_column, text_column)[0]
 
 
 def find_private(
-    docs: DataFrame, support: int = 5, confidence: float = 0.6, rounds: int = 3, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, support: int = 5, confidence: float = 0.6, rounds: int | None = None, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """doc_id, digest of the text, base and found spans (start, kind, end) of every document."""
     read = settle(read_documents(docs, id_column, text_column)).withColumn("row", F.monotonically_increasing_id())
-    trusted = trusted_patterns(docs, read.drop("row"), support, confidence, rounds, id_column, text_column)
+    _, scores = bootstrap(docs, read.drop("row"), support, confidence, rounds, id_column, text_column)
+    # a found instance is one wherever it stands; one occurrence is one span
+    known = scores.where(F.col("instance").startswith("id:")).select("instance")
     more = read.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).where("not s.seed").select(
-        "row", "s.pattern", F.struct(F.col("s.start").alias("start"), F.lit(KINDS.index("id")).alias("kind"), F.col("s.end").alias("end")).alias("span")
-    ).join(trusted, "pattern", "left_semi").groupBy("row").agg(F.collect_list("span").alias("more"))
+        "row", "s.instance", F.struct(F.col("s.start").alias("start"), F.lit(KINDS.index("id")).alias("kind"), F.col("s.end").alias("end")).alias("span")
+    ).join(known, "instance", "left_semi").groupBy("row").agg(F.collect_list("span").alias("more"))
     return read.join(more, "row", "left").select(
         "doc_id", "digest", "base",
         F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"),

@@ -202,3 +202,18 @@ def test_no_break_spaces_count_the_same_in_both_ways(spark, monkeypatch):
     monkeypatch.setattr(private, "CARRIED_PATTERNS", 1)
     assert {tuple(r) for r in private.count_patterns(frame, patterns).collect()} == wanted
     assert private.Before(texts[0]).pattern(texts[0].index("+")) == "bei tel.\u00a0:"
+
+
+def test_found_identifiers_bring_new_patterns(spark):
+    # a chain of contexts; only the first one stands before addresses
+    rows = [(i, f"we please contact user{i}@mail.example.com today") for i in range(100)]
+    for step, words in enumerate(["please contact", "badge number", "holder of"]):
+        for old in [] if step == 0 else [*range(6)] * 5:
+            rows.append((len(rows), f"then {words} link{step - 1}-{old} again"))
+        rows += [(len(rows) + k, f"then {words} link{step}-{k} again") for k in range(6)]
+    rows += [(900, "link2-3 stands first"), (901, "then some other link2-3 here"), (902, "then some other plain-77 here")]
+    kind = private.KINDS.index("id")
+    got = {r.doc_id: [t[s.start : s.end] for s in r.spans if s.kind == kind] for r in private.find_private(docs(spark, rows)).collect() for t in [dict(rows)[r.doc_id]]}
+    for i, text in rows[100:-3]:
+        assert len(got[i]) == 1 and got[i][0].startswith("link"), text
+    assert (got[900], got[901], got[902]) == (["link2-3"], ["link2-3"], [])
