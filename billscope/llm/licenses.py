@@ -10,6 +10,9 @@ rare words stands, a stretch of twice the template's length is aligned, stretche
 one. With a coverage of at least ``coverage`` some of any ``n - ceil(coverage * n) + 1`` words of
 the template must occur, so texts without any of them are passed over at the cost of a search.
 
+A template whose relative's text would pass as well needs its own words too (``nc``, the version).
+Of occurrences that share most words the one with most matched words stays.
+
 Null texts count as empty and hold no license. Repeated rows and null ids give rows of their own;
 an empty table gives no rows. Work per text grows with its words near a license.
 """
@@ -39,6 +42,7 @@ TEMPLATES = {
     "GPL-3.0": "Licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "GPL-2.0": "Licensed under the GNU General Public License, version 2.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
         " documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation"
@@ -102,6 +106,8 @@ class Template:
     def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words = name, words_of(text)[0]
         self.least = math.ceil(coverage * len(self.words))
+        #: Words that a near relative lacks, for each relative: lists of positions in the template.
+        self.telling: list[list[int]] = []
         seen = Counter(self.words)
         # the longest words are the rarest in prose; some of these must occur, repeated words counted
         self.rare: set[str] = set()
@@ -112,8 +118,21 @@ class Template:
             self.rare.add(w)
             left -= seen[w]
 
-    def scan(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(first word, last word, matched words) of each occurrence."""
+    def tell_from(self, others: list[Template], coverage: float) -> None:
+        """Take the words that set this template apart from those whose text could pass for it."""
+        for other in others:
+            own = Counter(self.words) - Counter(other.words)
+            if own and len(self.words) - own.total() >= self.least:
+                self.telling.append([i for i, w in enumerate(self.words) if w in own])
+        self.coverage = coverage
+
+    def told(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether enough of the words that set it apart from each relative are matched; of up to four, all."""
+        at = {j for _, j in pairs}
+        return all(len(at.intersection(own)) >= math.ceil(self.coverage * len(own)) for own in self.telling)
+
+    def scan(self, words: list[str]) -> Iterator[list[tuple[int, int]]]:
+        """Matched (word, word of the template) of each occurrence."""
         reach = 2 * len(self.words)
         stretches: list[list[int]] = []
         for i, w in enumerate(words):
@@ -128,9 +147,10 @@ class Template:
                 pairs = self.tight(words[low:high])
                 if len(pairs) < self.least:
                     break
-                first, last = low + pairs[0][0], low + pairs[-1][0]
-                yield first, last, len(pairs)
-                low = last + 1
+                pairs = [(low + i, j) for i, j in pairs]
+                if self.told(pairs):
+                    yield pairs
+                low = pairs[-1][0] + 1
 
     def tight(self, words: list[str]) -> list[tuple[int, int]]:
         """The alignment in the first window of 1.5 template lengths in which it covers enough, else the best."""
@@ -145,13 +165,33 @@ class Template:
         return best
 
 
+def prepared(templates: dict[str, str], coverage: float) -> list[Template]:
+    known = [Template(n, t, coverage) for n, t in templates.items()]
+    for t in known:
+        t.tell_from([o for o in known if o is not t], coverage)
+    return known
+
+
+def apart(found: list[tuple[Template, list[tuple[int, int]]]]) -> list[tuple[Template, list[tuple[int, int]]]]:
+    """Of occurrences that share over half of the shorter one's words, the one with most matched words, then best coverage.
+
+    Most words come first: a short notice lies whole in a longer one that lacks a word.
+    """
+    kept: list[tuple[Template, set[int], list[tuple[int, int]]]] = []
+    for t, pairs in sorted(found, key=lambda x: (-len(x[1]), -len(x[1]) / len(x[0].words))):
+        here = {i for i, _ in pairs}
+        if all(2 * len(here & other) <= len(here) for _, other, _ in kept):
+            kept.append((t, here, pairs))
+    return [(t, pairs) for t, _, pairs in kept]
+
+
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """doc_id, license, coverage, start and end (code points) of each occurrence in every whole text."""
 
     def work(batches: Iterator[pa.RecordBatch]):
-        known = [Template(n, t, coverage) for n, t in (templates or TEMPLATES).items()]
+        known = prepared(templates or TEMPLATES, coverage)
         rare = set().union(*(t.rare for t in known))
         any_rare = re.compile("|".join(map(re.escape, sorted(rare, key=len, reverse=True))), re.IGNORECASE)
         for doc, text in each_row(batches):
@@ -159,10 +199,9 @@ def scan_licenses(
                 continue
             words, starts, ends = words_of(text)
             present = set(words)
-            for t in known:
-                if not t.rare.isdisjoint(present):
-                    for first, last, matched in t.scan(words):
-                        yield doc, t.name, round(matched / len(t.words), 6), starts[first], ends[last]
+            found = [(t, pairs) for t in known if not t.rare.isdisjoint(present) for pairs in t.scan(words)]
+            for t, pairs in apart(found):
+                yield doc, t.name, round(len(pairs) / len(t.words), 6), starts[pairs[0][0]], ends[pairs[-1][0]]
 
     return map_batches(
         documents(docs, id_column, text_column), work, "doc_id long, license string, coverage double, start long, end long"

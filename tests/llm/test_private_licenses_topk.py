@@ -217,3 +217,15 @@ def test_found_identifiers_bring_new_patterns(spark):
     for i, text in rows[100:-3]:
         assert len(got[i]) == 1 and got[i][0].startswith("link"), text
     assert (got[900], got[901], got[902]) == (["link2-3"], ["link2-3"], [])
+
+
+def test_relatives_and_contained_notices_are_told_apart(spark):
+    header = licenses.TEMPLATES["Apache-2.0-header"]
+    lines = {n: t for n, t in licenses.TEMPLATES.items() if len(t) < 100}
+    rows = [(i, f"prose before {t} and after") for i, t in enumerate(lines.values())]
+    rows += [(50, header), (51, header.replace("compliance", "accord")), (52, " some words between ".join(lines.values())), (53, "Licensed under CC BY-SA 4.0.")]
+    got: dict = {}
+    for r in licenses.scan_licenses(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert [got[i] for i in range(len(lines))] == [[n] for n in lines]
+    assert got[50] == got[51] == ["Apache-2.0-header"] and sorted(got[52]) == sorted(lines) and 53 not in got
