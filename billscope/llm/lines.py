@@ -11,8 +11,9 @@ Three scans and no text in a shuffle of lines:
 * the lines of those hashes (hash, document, position) are written down. Grouping by hash and
   document before grouping by hash gives the exact number of different documents, and no hash
   collects its documents in one task.
-* the positions to drop, one row per document that loses lines, meet the texts again, and the
-  other lines are joined in their order. Flags and lines are walked once, whatever their number.
+* the positions to drop, one row per document that loses lines, meet the texts again - broadcast
+  where a check of rows and bytes allows it, else in a shuffle join that moves each text once - and
+  the other lines are joined in their order. Flags and lines are walked once, whatever their number.
 
 Null and empty texts are one empty line. Rows that share an id are one document when documents are
 counted, and so are all rows without an id, which counts as the smallest; each row keeps its own
@@ -35,6 +36,8 @@ from billscope.shared import release, settle
 BLANKS = " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASH = ["h1", "h2"]
+#: Documents that lose lines, two longs and their positions, travel to the texts up to this many and 32 MB.
+CARRIED_ROWS = 1_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -99,7 +102,7 @@ def dedup_lines(
     """doc_id, n_lines (before), n_dropped and kept, the text of the other lines, for every row."""
     rows = documents(docs, id_column, text_column).select("doc_id", digest().alias("digest"), "text")
     drops = shared_lines(rows, documents_at_least, shortest)
-    side = small_side(drops.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "drop"))
+    side = small_side(drops.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "drop"), CARRIED_ROWS)
     joined = rows.join(side, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.digest == F.col("_digest")), "left")
     lines = split_lines(F.col("text"))
     return joined.select(
