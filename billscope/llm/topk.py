@@ -12,15 +12,18 @@ a bucket each query takes one of two ways to prune: with a high local threshold,
 lie in the feasible interval of the query's largest coordinates; with a low one, only lengths are
 compared. Products of what is left are computed in exact integers.
 
-Vectors that are null, empty or hold a null or non-finite component take no part, nor do those
-whose squared integer length passes 62 bits. Only vectors of one dimension meet. Rows that repeat
-an id and its vector are one; different vectors of one id are all candidates, and as queries share
-one list of k. No row meets its own id; rows without an id take no part. Ties go to the smaller id.
-An empty table gives no rows.
+Vectors whose squared integer length passes 62 bits are long: their products are computed with
+Python integers, in blocks of their own, and one that doesn't fit in a long counts as the nearest long.
+
+Vectors that are null, empty or hold a null or non-finite component take no part. Only vectors of one
+dimension meet. Every row is a candidate, repeated ones too; rows that share an id share one list of
+k as queries. No row meets its own id; rows without an id take no part. Ties go to the smaller id.
+An empty table gives no rows. Of columns with clashing names only those asked for play a part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,26 +38,59 @@ BUCKET, BLOCK = 2048, 512
 #: Local cosine threshold from which coordinates are tried, and how many of them.
 STEEP, FOCUS = 0.6, 4
 SLACK = 1e-9
+MOST, LEAST = (1 << 63) - 1, -(1 << 63)
 MATRIX = "dim int, longest double, ids binary, lengths binary, matrix binary"
 
 
 def integers(df: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """vec_id, dim, length and the integer vector as 64-bit bytes, of the vectors that take part."""
+    """vec_id, dim, length, the vector as 64-bit bytes and whether it is long, of the vectors that take part.
+
+    Long vectors are given as they are, in doubles, the others in integers.
+    """
     rows = pick(df, vec_id=id_column, v=vector_column).where("vec_id is not null and v is not null").select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")
     ).where(
         # before copies meet, so that no broken vector stands for a good one of its id
         (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ).distinct()
+    )
 
     def work(batches: Iterator[pa.RecordBatch]):
         for vec, values in each_row(batches, 1000):
-            scaled = np.floor(scale * np.array(values))
-            if not np.isfinite(scaled).all() or float(scaled @ scaled) >= 2.0**62:
-                continue
-            yield vec, len(values), float(np.sqrt(scaled @ scaled)), scaled.astype("<i8").tobytes()
+            with np.errstate(over="ignore", invalid="ignore"):
+                scaled = np.floor(scale * np.array(values))
+                square = float(scaled @ scaled)
+            if square < 2.0**62:
+                yield vec, len(values), float(np.sqrt(square)), scaled.astype("<i8").tobytes(), False
+            else:
+                yield vec, len(values), float("inf"), np.array(values, "<f8").tobytes(), True
+
+    return map_batches(rows, work, "vec_id long, dim int, length double, v binary, long boolean")
+
+
+def whole_numbers(matrix: bytes, rows: int, long: bool, scale: int) -> np.ndarray:
+    """The integers of a block as Python integers; a product that passes all doubles is one of whole numbers."""
+    if not long:
+        return np.frombuffer(matrix, "<i8").reshape(rows, -1).astype(object)
+    scaled = [(x, scale * x) for x in np.frombuffer(matrix, "<f8").tolist()]
+    found = np.array([math.floor(s) if math.isfinite(s) else int(x) * scale for x, s in scaled], object)
+    return found.reshape(rows, -1)
+
+
+def long_products(asked: DataFrame, rows: DataFrame, queries_long: bool, rows_long: bool, k: int, scale: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block, where queries, rows or both are long."""
+    size = ["ids", "matrix"]
+    left = _blocks(asked, BLOCK, asked.count()).select("dim", *size)
+    right = _blocks(rows, BLOCK, rows.count()).select("dim", *[F.col(c).alias(f"b_{c}") for c in size])
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for q_ids, q_matrix, b_ids, b_matrix in each_row(batches, 1):
+            q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(b_ids, "<i8")
+            scores = whole_numbers(q_matrix, len(q_ids), queries_long, scale) @ whole_numbers(b_matrix, len(ids), rows_long, scale).T
+            for i, query in enumerate(q_ids.tolist()):
+                near = sorted((-max(LEAST, min(MOST, s)), v) for s, v in zip(scores[i].tolist(), ids.tolist(), strict=True) if v != query)
+                yield from ((query, v, -s) for s, v in near[:k])
 
-    return map_batches(rows, work, "vec_id long, dim int, length double, v binary")
+    return map_batches(left.join(right, "dim").drop("dim"), work, "query_id long, vec_id long, score long")
 
 
 def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
@@ -131,8 +167,9 @@ def top_k(
     df: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding"
 ) -> DataFrame:
     """query_id, rank from 1, vec_id and score: the k best rows of ``df`` for each query, its own left out."""
-    rows = settle(integers(df, id_column, vector_column, scale))
-    asked = settle(integers(queries, id_column, vector_column, scale))
+    every = settle(integers(df, id_column, vector_column, scale))
+    every_query = settle(integers(queries, id_column, vector_column, scale))
+    rows, asked = every.where("not long"), every_query.where("not long")
     buckets = settle(_blocks(rows, BUCKET, rows.count()))
     blocks = settle(_blocks(asked, BLOCK, asked.count()))
     # number of a bucket within its dimension, by falling length; only a narrow row per bucket is ordered
@@ -178,6 +215,12 @@ def top_k(
                 yield [np.array(c, np.int64) for c in zip(*found, strict=True)]
 
     scored = map_arrays(pairs.select(*size, "kth", *[f"b_{c}" for c in size]), verify, "query_id long, vec_id long, score long")
+    long_rows, long_asked = every.where("long"), every_query.where("long")
+    if not long_rows.isEmpty():
+        scored = scored.unionByName(long_products(asked, long_rows, False, True, k, scale))
+        scored = scored.unionByName(long_products(long_asked, long_rows, True, True, k, scale))
+    if not long_asked.isEmpty():
+        scored = scored.unionByName(long_products(long_asked, rows, True, False, k, scale))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

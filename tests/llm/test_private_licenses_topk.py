@@ -139,17 +139,16 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def plain_top(rows, asked, k, scale):
-    whole: dict = {}
-    for i, v in rows:
-        if i is not None and v is not None:
-            whole[i] = min(whole.get(i, v), v, key=lambda x: [(c is not None, c or 0) for c in x])
-    ints = {
-        i: np.floor(scale * np.array(v, np.float32).astype(float)).astype(object)
-        for i, v in whole.items() if v and None not in v and np.isfinite(np.array(v, float)).all()
-    }
+    good = [
+        (i, np.floor(scale * np.array(v, np.float32).astype(float)).astype(object)) for i, v in rows
+        if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all()
+    ]
     out = []
-    for q in sorted(set(asked) & set(ints)):
-        scores = sorted((-int(sum(int(a) * int(b) for a, b in zip(ints[q], v))), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
+    for q in sorted(set(asked)):
+        scores = sorted(
+            (-int(sum(int(a) * int(b) for a, b in zip(mine, v))), i)
+            for j, mine in good if j == q for i, v in good if i != q and len(v) == len(mine)
+        )
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
     return out
 
@@ -175,10 +174,14 @@ def test_top_k_equals_all_products(spark, monkeypatch, kind):
 
 
 def test_top_k_of_large_integers_and_of_nothing(spark):
-    rows = [(0, [3e15, 1.0]), (1, [2.0, -1e15]), (2, [1e15, 1.0]), (3, [1e30, 1.0])]
+    rows = [(0, [3e15, 1.0]), (1, [2.0, -1e15]), (2, [1e15, 1.0]), (3, [1e30, 1.0]), (4, [-1e308, 0.0])]
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
     got = sorted(map(tuple, topk.top_k(frame, frame.where("vec_id = 2"), k=9, scale=1).collect()))
-    assert got == []  # lengths beyond 31 bits take no part in 63-bit products
+    # products that don't fit in a long count as the nearest one
+    assert got == [(2, 1, 0, topk.MOST), (2, 2, 3, topk.MOST), (2, 3, 1, 10**15), (2, 4, 4, topk.LEAST)]
+    mixed = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [3e6, 0.0], 0), (2, [2.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, topk.top_k(mixed, mixed.where("vec_id in (0, 1)"), k=9, scale=1024).collect()))
+    assert got == [(0, 1, 1, 3 * 10**6 * 2**20), (0, 2, 2, 2**21), (1, 1, 2, 6 * 10**6 * 2**20), (1, 2, 0, 3 * 10**6 * 2**20)]
     small = spark.createDataFrame([(0, [3e8, 1.0], 0), (1, [2.0, -1e8], 0), (2, [1e8, 7.0], 0)], "vec_id long, embedding array<double>, label int")
     got = sorted(map(tuple, topk.top_k(small, small.where("vec_id = 2"), k=9, scale=1).collect()))
     assert got == [(2, 1, 0, 3 * 10**16 + 7), (2, 2, 1, 2 * 10**8 - 7 * 10**8)]
