@@ -141,7 +141,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_repeats")
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep_bytes=False)
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep="text")
 
 
 @query(

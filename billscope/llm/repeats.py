@@ -277,11 +277,15 @@ def _merge(found: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text", keep_bytes: bool = True
+    docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text", keep: str = "bytes"
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless left out, kept (the remaining bytes)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and what is left.
+
+    That is ``kept``, the remaining bytes, or with ``keep="text"`` ``text``, the remaining text without characters
+    that a border cuts through.
+    """
     rows = known(docs, id_column, text_column)
-    return cut_spans(rows, spans(rows, length), *["kept"] * keep_bytes)
+    return cut_spans(rows, spans(rows, length), keep)
 
 
 def cut_text(text: str, found: list[dict]) -> str:
@@ -291,11 +295,32 @@ def cut_text(text: str, found: list[dict]) -> str:
     return "".join(raw[a:b].decode(errors="ignore") for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def cut_spans(rows: DataFrame, found: DataFrame, *keep: str) -> DataFrame:
-    """Rows without their spans; ``kept`` is the remaining bytes, if it is asked for."""
+_SPACE = frozenset(b" \t\n\v\f\r")
+
+
+def passages(raw: bytes, found: list[dict], words: int) -> list[tuple[int, int]]:
+    """Merged spans that hold more than ``words`` whole words of the text."""
+    kept = []
+    for a, b in _merge(found):
+        inside = raw[a:b].split()
+        cut_first = a > 0 and raw[a - 1] not in _SPACE and raw[a] not in _SPACE
+        cut_last = b < len(raw) and raw[b] not in _SPACE and raw[b - 1] not in _SPACE
+        if len(inside) - cut_first - (cut_last and not (cut_first and len(inside) == 1)) > words:
+            kept.append((a, b))
+    return kept
+
+
+def cut_passages(text: str, found: list[dict], words: int) -> str:
+    """The text without its spans of more than ``words`` whole words; shorter ones stay."""
+    return cut_text(text, [{"start": a, "end": b} for a, b in passages(text.encode(), found, words)])
+
+
+def cut_spans(rows: DataFrame, found: DataFrame, keep: str = "bytes") -> DataFrame:
+    """Rows without their spans, and what is left as bytes or text."""
     joined = rows.join(found, [rows.doc_id.eqNullSafe(found.doc_id), rows.digest == found.digest], "left").select(
         rows.doc_id, "text", "spans"
     )
+    as_text = keep == "text"
 
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -304,11 +329,12 @@ def cut_spans(rows: DataFrame, found: DataFrame, *keep: str) -> DataFrame:
                 raw = memoryview(raw) if raw is not None else memoryview(b"")
                 gone = _merge(batch.column(2)[i].as_py())
                 edges = [0, *[x for span in gone for x in span], len(raw)]
-                left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                pieces = [raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                left = b"".join(pieces)
+                rest = "".join(str(p, "utf-8", "ignore") for p in pieces) if as_text else left
                 yield (
-                    batch.column(0)[i].as_py(), len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(),
-                    *[left for _ in keep],
+                    batch.column(0)[i].as_py(), len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), rest
                 )
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {k} binary" for k in keep)
-    return map_batches(joined, work, schema, 500)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+    return map_batches(joined, work, schema + ("text string" if as_text else "kept binary"), 500)

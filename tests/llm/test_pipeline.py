@@ -20,6 +20,9 @@ def test_stages_on_planted_documents(spark, tmp_path):
     texts = {i: prose(rng, 120) for i in range(30)}
     texts |= {30 + i: texts[i] for i in range(3)}  # copies
     texts |= {40: prose(rng, 60) + passage + prose(rng, 60), 41: prose(rng, 70) + passage + prose(rng, 50)}
+    short, long_ = prose(rng, 45), " ".join(rng.choice("abcdefgh") * 3 for _ in range(51))
+    texts |= {42 + i: f"{prose(rng, 60)} {short} {prose(rng, 20)}" for i in range(2)}  # too few words, though over 160 bytes
+    texts |= {44 + i: f"{prose(rng, 60)} {long_} {prose(rng, 20)}" for i in range(2)}  # 51 words in 203 bytes
     texts |= {50: prose(rng, 80) + " mail me at someone.else@mail3.example.com " + prose(rng, 50), 60: "too short", 61: None}
     junk = {70 + i: " ".join(w + "###" for w in prose(rng, 90).split()) for i in range(30)}
     rows = [(i, t, "en", "s", len(t or "")) for i, t in {**texts, **junk}.items()]
@@ -41,7 +44,9 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert len({slow_fingerprint(r.text, 4) for r in unique.values()}) == len(unique)
     for i in (40, 41):
         assert passage not in cut[i].text and cut[i].n_chars == unique[i].n_chars - len(passage)
-    assert all(cut[i].text == unique[i].text for i in cut if i not in (40, 41))
+    assert all(long_ not in cut[i].text and len(cut[i].text) == len(unique[i].text) - len(long_) - 2 for i in (44, 45))
+    assert len(short) > pipeline.REPEAT_BYTES and all(short in cut[i].text for i in (42, 43))
+    assert all(cut[i].text == unique[i].text for i in cut if i not in (40, 41, 44, 45))
     assert "[EMAIL]" in clean[50].text and not private.base_spans(clean[50].text)
     assert all(clean[i].text == cut[i].text for i in clean if i != 50)
     packed = pipeline.packing_stage(spark, docs, folder).collect()

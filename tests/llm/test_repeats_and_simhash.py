@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -54,6 +55,25 @@ def test_cut_text_drops_halved_characters():
     assert repeats.cut_text("aéb", [{"start": 1, "end": 3}]) == "ab"
 
 
+def test_passages_count_whole_words():
+    raw = b"aa bb cc dd ee"
+    assert repeats.passages(raw, [{"start": 0, "end": 8}], 2) == [(0, 8)]
+    assert repeats.passages(raw, [{"start": 1, "end": 8}], 2) == []  # "a bb cc": two whole words
+    assert repeats.passages(raw, [{"start": 2, "end": 7}], 1) == []  # " bb c"
+    assert repeats.passages(raw, [{"start": 1, "end": 2}], 0) == repeats.passages(b"aaaa", [{"start": 1, "end": 3}], 0) == []
+    assert repeats.passages(raw, [{"start": 6, "end": 10}, {"start": 9, "end": 14}], 2) == [(6, 14)]
+    assert repeats.cut_passages("é bb cc", [{"start": 3, "end": 5}, {"start": 5, "end": 8}], 1) == "é "
+
+
+def test_remaining_text_beside_its_digest(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdeé ") for _ in range(90))
+    rows = [(i, f"x{i}é{passage}é{i}y") for i in range(3)] + [(9, None)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs(spark, rows), 64, keep="text").collect()}
+    assert got[9].text == "" and all(got[i].text == f"x{i}{i}y" for i in range(3))
+    assert all(got[i].kept_sha256 == hashlib.sha256(got[i].text.encode()).hexdigest() for i in got)
+
+
 def slow_fingerprint(text: str | None, words: int) -> int:
     found = (text or "").encode().lower().split()
     if not found:
