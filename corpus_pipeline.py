@@ -18,6 +18,11 @@ from billscope.shared import fresh_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: A repeated passage goes if it has more words than this.
+PASSAGE_WORDS = 50
+#: Length of the strings that are searched for: less than what 51 words of three letters and a space take.
+REPEAT_BYTES = 160
+
 
 def whole(docs: DataFrame) -> DataFrame:
     return pick(docs, **{c: c for c in COLUMNS}).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -48,9 +53,13 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated 400-byte strings; a character cut through by a border goes as well."""
+    """Texts without the passages of more than ``PASSAGE_WORDS`` whole words that stand anywhere else.
+
+    Every run of repeated ``REPEAT_BYTES``-byte strings is looked at; those with fewer words stay.
+    """
     docs = whole(docs)
-    return rewrite(docs, repeats.spans(repeats.known(docs), 400), "spans", repeats.cut_text)
+    found = repeats.spans(repeats.known(docs), REPEAT_BYTES)
+    return rewrite(docs, found, "spans", lambda text, spans: repeats.cut_passages(text, spans, PASSAGE_WORDS))
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
