@@ -14,7 +14,8 @@ shrinks as they close in:
 * for negatives, what lies outside every window of the anchor's positives goes, as well as what can't
   reach the k-th best lower bound of those that are surely inside a window.
 
-What is left when all dimensions are read has exact scores. The best of each block are ranked again
+What is left when all dimensions are read has exact scores. The k-th best score of the blocks that a
+task has seen is the least that the next block must reach. The best of each block are ranked again
 over all blocks, which are at most k rows each.
 
 Rows with a null label, vector or component, a non-finite component or an empty vector take no part.
@@ -44,6 +45,8 @@ BLOCK, PACK = 2048, 128
 STRIDE = 8
 #: Components up to this size are plain; scans of plain rows are exact in floating point.
 PLAIN = 2.0**24
+#: Whole numbers below this are exact in single precision.
+SINGLE = 2.0**24
 #: (pack, block) pairs of a task, about.
 TASK_PAIRS = 32
 NO_ID = (1 << 63) - 1
@@ -92,10 +95,10 @@ def _block(number: int, held: list[tuple]) -> tuple:
 
 
 class Vectors:
-    """The rows of a block; ``columns`` has a row per dimension."""
+    """The rows of a pack or block."""
 
     def __init__(self, row: list, ids: list, label: list, matrix: bytes, scale: int):
-        self.row, self.id, self.label = np.array(row, np.int64), np.array(ids, np.int64), np.array(label, object)
+        self.row, self.id, self.label = np.array(row, np.int64), np.array(ids, np.int64), label
         self.scale, self.raw = scale, np.frombuffer(matrix, "<f8").reshape(len(row), -1)
         with np.errstate(over="ignore"):
             self.scaled = np.floor(scale * self.raw)
@@ -108,13 +111,22 @@ class Vectors:
 
 
 class Columns(Vectors):
+    """A block, with a row per dimension of its plain rows, and the bitmap of each label."""
+
     def __init__(self, *args):
         super().__init__(*args)
-        plain = np.flatnonzero(self.plain)
-        self.at, self.long = plain, np.flatnonzero(~self.plain)
-        self.columns = np.ascontiguousarray(self.scaled[plain].T)
-        self.low = self.columns.min(1) if len(plain) else None
-        self.high = self.columns.max(1) if len(plain) else None
+        self.at, self.long = np.flatnonzero(self.plain), np.flatnonzero(~self.plain)
+        columns = np.ascontiguousarray(self.scaled[self.at].T)
+        self.most = np.abs(columns).max(initial=0.0)
+        self.low, self.high = (columns.min(1), columns.max(1)) if len(self.at) else (np.zeros(len(columns)),) * 2
+        # single precision holds sums of whole numbers below 2**24, double precision below 2**53
+        self.columns, self.short = columns, columns.astype(np.float32) if self.most < SINGLE else None
+        names, codes = np.unique(np.array(self.label, object), return_inverse=True)
+        self.labels = {name: codes == i for i, name in enumerate(names.tolist())}
+        self.nothing = np.zeros(len(codes), bool)
+
+    def of_label(self, label: str) -> np.ndarray:
+        return self.labels.get(label, self.nothing)
 
 
 Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -123,25 +135,28 @@ Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
 def scan(anchor: Vectors, i: int, block: Columns, wanted: np.ndarray, keep: Keep) -> tuple[np.ndarray, list[int]]:
     """Rows of the block that ``keep`` leaves over, among the ``wanted`` ones, and their exact scores."""
     q = anchor.scaled[i]
-    easy = bool(anchor.plain[i]) and np.abs(q).sum() * PLAIN < 2.0**52
+    # no sum of some products, bounds included, passes this
+    reach = np.abs(q).sum() * max(block.most, 1.0) if anchor.plain[i] else np.inf
+    easy = reach < 2.0**52
     alive = np.flatnonzero(wanted[block.at]) if easy else np.empty(0, np.int64)
     hard = [j for j in (block.long if easy else range(len(wanted))) if wanted[j]]
-    partial = np.zeros(len(alive))
+    columns, kind = (block.short, np.float32) if block.short is not None and reach < SINGLE else (block.columns, np.float64)
+    partial = np.zeros(len(alive), kind)
     if len(alive):
         order = np.argsort(-np.abs(q), kind="stable")
         ends = q * block.low, q * block.high
         # what the dimensions from a place in the order on can add, at least and at most
-        rest = [np.append(np.cumsum(pick_(*ends)[order][::-1])[::-1], 0.0) for pick_ in (np.minimum, np.maximum)]
-        for start in range(0, len(q), STRIDE):
-            dims = order[start : start + STRIDE]
-            read = block.columns[dims] if len(alive) == block.columns.shape[1] else block.columns[np.ix_(dims, alive)]
-            partial += q[dims] @ read
-            done = min(start + STRIDE, len(q))
+        rest = [np.append(np.cumsum(ends_of(*ends)[order][::-1])[::-1], 0.0).astype(kind) for ends_of in (np.minimum, np.maximum)]
+        weights, done = q.astype(kind), 0
+        while done < len(q) and len(alive):
+            # the first half decides little
+            dims = order[done : max(len(q) // 2, done + STRIDE)]
+            read = columns[dims] if len(alive) == columns.shape[1] else columns[np.ix_(dims, alive)]
+            partial += weights[dims] @ read
+            done += len(dims)
             stay = keep(partial + rest[0][done], partial + rest[1][done])
             if not stay.all():
                 alive, partial = alive[stay], partial[stay]
-            if not len(alive):
-                break
     found, scores = block.at[alive], partial.astype(np.int64).tolist()
     if hard:
         mine = anchor.long_integers(i)
@@ -152,29 +167,49 @@ def scan(anchor: Vectors, i: int, block: Columns, wanted: np.ndarray, keep: Keep
     return found, scores
 
 
-def keep_best(k: int) -> Keep:
+def keep_best(k: int, bar: int) -> Keep:
+    """Candidates that may be among the k best; ``bar`` is the k-th best score of earlier blocks."""
+
     def keep(low: np.ndarray, high: np.ndarray) -> np.ndarray:
         if len(low) <= k:
-            return np.ones(len(low), bool)
-        return high >= np.partition(low, -k)[-k]
+            return high >= bar
+        return high >= max(bar, np.partition(low, -k)[-k])
 
     return keep
 
 
 def keep_windows(windows: list[tuple[int, int]], k: int) -> Keep:
     """Candidates that may be among the k best of a window."""
+    floor, ceiling = min(w[0] for w in windows), max(w[1] for w in windows)
 
     def keep(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        useful = np.zeros(len(low), bool)
+        near = np.flatnonzero((high >= floor) & (low <= ceiling))
+        below, above, useful = low[near], high[near], np.zeros(len(near), bool)
         for least, most in windows:
-            inside = low[(low >= least) & (high <= most)]
-            bar = np.partition(inside, -k)[-k] if len(inside) >= k else least
-            useful |= (high >= max(least, bar)) & (low <= most)
-        return useful
+            inside = below[(below >= least) & (above <= most)]
+            bar = max(least, np.partition(inside, -k)[-k]) if len(inside) >= k else least
+            useful |= (above >= bar) & (below <= most)
+        stay = np.zeros(len(low), bool)
+        stay[near[useful]] = True
+        return stay
 
     return keep
 
 
+class Bars:
+    """The k-th best score so far of each key, over the blocks of a task."""
+
+    def __init__(self, k: int):
+        self.k, self.scores = k, {}
+
+    def bar(self, key: tuple, least: int = LEAST) -> int:
+        held = self.scores.get(key, ())
+        return max(least, held[-1]) if len(held) == self.k else least
+
+    def add(self, key: tuple, scores: list[int]) -> None:
+        self.scores[key] = sorted([*self.scores.get(key, ()), *scores], reverse=True)[: self.k]
+
+
 def best(found: np.ndarray, scores: list[int], ids: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
     """(id, score) of the k highest scores, ties by id."""
     order = sorted(zip([-s for s in scores], ids[found].tolist(), strict=True))[:k]
@@ -245,32 +280,41 @@ def _pairs(packs: DataFrame, columns: DataFrame, meet, work, schema: str) -> Dat
 
 def _find_positives(k: int, scale: int):
     def work(batches: Iterator[pa.RecordBatch]):
+        bars = Bars(k)
         for row, ids, label, matrix, *block in each_row(batches, 1):
             anchors, held = Vectors(row, ids, label, matrix, scale), Columns(*block, scale)
-            for i in range(len(row)):
-                same = (held.label == anchors.label[i]) & (held.row != anchors.row[i])
+            for i, mine in enumerate(row):
+                same = held.of_label(label[i]) & (held.row != mine)
                 if same.any():
-                    for other, score in best(*scan(anchors, i, held, same, keep_best(k)), held.id, k):
-                        yield int(anchors.row[i]), other, score
+                    found, exact = scan(anchors, i, held, same, keep_best(k, bars.bar((mine,))))
+                    near = list(best(found, exact, held.id, k))
+                    bars.add((mine,), [score for _, score in near])
+                    yield from ((mine, other, score) for other, score in near)
 
     return work
 
 
 def _find_negatives(k: int, at_least: int, at_most: int, scale: int):
     def work(batches: Iterator[pa.RecordBatch]):
+        bars = Bars(k)
         for row, ids, label, matrix, scores, others, *block in each_row(batches, 1):
             anchors, held = Vectors(row, ids, label, matrix, scale), Columns(*block, scale)
-            for i in range(len(row)):
-                other_label = held.label != anchors.label[i]
-                windows = [window(s, at_least, at_most) for s in scores[i]]
+            for i, mine in enumerate(row):
+                windows = []
+                for place, score in enumerate(scores[i]):
+                    least, most = window(score, at_least, at_most)
+                    windows.append((bars.bar((mine, place), least), most))
                 open_ = [w for w in windows if w[0] <= w[1]]
+                other_label = ~held.of_label(label[i])
                 if not open_ or not other_label.any():
                     continue
                 found, exact = scan(anchors, i, held, other_label, keep_windows(open_, k))
                 for place, (least, most) in enumerate(windows):
                     inside = [j for j, s in enumerate(exact) if least <= s <= most]
-                    for other, score in best(found[inside], [exact[j] for j in inside], held.id, k):
-                        yield int(anchors.row[i]), place, int(anchors.id[i]), others[i][place], scores[i][place], other, score
+                    near = list(best(found[inside], [exact[j] for j in inside], held.id, k))
+                    if near:
+                        bars.add((mine, place), [score for _, score in near])
+                    yield from ((mine, place, ids[i], others[i][place], scores[i][place], other, score) for other, score in near)
 
     return work
 
