@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from billscope.functions.vectors import squared_distance
 from billscope.operators.keyed import attach
+from billscope.operators.kmeans import Centres, kmeans_runs
 from billscope.operators.ordered import CHUNK, at_most, running_sums, with_chunks
 
 CLUSTER_LIMIT = 10_000
@@ -54,25 +55,26 @@ def kmeans_best(
 
 def k_sweep(
     df: DataFrame, value: str, ks: Sequence[int] = tuple(range(5, 51, 5)), seed: int = 42, starts: int = 10
-) -> tuple[int, DataFrame, KMeansModel]:
+) -> tuple[int, DataFrame, Centres]:
     """Best k by exact one-dimensional silhouette; ties go to the smaller k.
 
-    Gives the best k, the table (k, silhouette) and the best model. Equal values are
-    counted once before the sweep, which then works on weighted points.
+    Gives the best k, the table (k, silhouette) and the best run. Equal values are counted once; all
+    runs then move together over the weighted points, and one pass scores the best run of every k.
     """
     points = df.dropna(subset=[value]).groupBy(value).agg(F.count(F.lit(1)).alias("_weight"))
-    data = as_vector(points, value).persist()
+    data = points.persist()
     try:
-        scored = []
-        for k in ks:
-            model = kmeans_best(data, k, seed=seed, starts=starts, weight="_weight")
-            labelled = model.transform(data).select(value, "cluster", "_weight")
-            scored.append((k, silhouette_1d(labelled, value, "cluster", weight="_weight").first()[0], model))
+        runs = kmeans_runs(data, value, ks, starts, seed, "_weight")
+        labels = [F.struct(F.lit(k).alias("k"), run.place(F.col(value)).alias("cluster")) for k, run in runs.items()]
+        labelled = data.select(value, "_weight", F.explode(F.array(*labels)).alias("r")).select(value, "_weight", "r.*") if runs else None
+        scores = {} if labelled is None else {
+            r.k: r.silhouette for r in silhouette_1d(labelled, value, "cluster", weight="_weight", by="k").collect()
+        }
     finally:
         data.unpersist()
-    best = max(scored, key=lambda s: (s[1] if s[1] is not None else float("-inf"), -s[0]))
-    table = df.sparkSession.createDataFrame([(k, s) for k, s, _ in scored], "k int, silhouette double")
-    return best[0], table, best[2]
+    table = df.sparkSession.createDataFrame([(k, scores.get(k)) for k in ks], "k int, silhouette double")
+    best = max(ks, key=lambda k: (scores[k] if scores.get(k) is not None else float("-inf"), -k))
+    return best, table, runs.get(best)
 
 
 def nearest_centroid(
@@ -116,9 +118,9 @@ def centroids_of(df: DataFrame, vector: str, cluster: str) -> DataFrame:
 
 
 def silhouette_1d(
-    df: DataFrame, value: str, cluster: str, chunks: int | None = None, weight: str | None = None
+    df: DataFrame, value: str, cluster: str, chunks: int | None = None, weight: str | None = None, by: str | None = None
 ) -> DataFrame:
-    """Exact mean silhouette (Euclidean) of one-dimensional points.
+    """Exact mean silhouette (Euclidean) of one-dimensional points, of each ``by`` value if it is given.
 
     Equal points are counted first. The mean distance to a cluster that lies wholly on
     one side of a point is the gap to the cluster's mean; only for clusters that straddle
@@ -126,14 +128,15 @@ def silhouette_1d(
     needed, and those are chunked. No pair of points is ever formed.
     """
     points = df.dropna(subset=[value, cluster]).groupBy(
-        F.col(value).cast("double").alias("x"), F.col(cluster).alias("own")
+        (F.lit(0) if by is None else F.col(by)).alias("_of"), F.col(value).cast("double").alias("x"), F.col(cluster).alias("own")
     ).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    per_cluster = points.groupBy(F.col("own").alias("c")).agg(
+    per_cluster = points.groupBy("_of", F.col("own").alias("c")).agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("m"),
         F.sum(F.col("x") * F.col("n")).alias("s"),
     )
-    packed = per_cluster.agg(F.collect_list(F.struct("c", "lo", "hi", "m", "s")).alias("a")).scalar()
-    placed = points.withColumn("_all", packed)
+    # one row for each clustering that is compared, with its clusters
+    packed = per_cluster.groupBy("_of").agg(F.collect_list(F.struct("c", "lo", "hi", "m", "s")).alias("_all"))
+    placed = points.join(F.broadcast(packed), "_of")
     x = F.col("x")
 
     def straddles(k: Column) -> Column:
@@ -143,22 +146,22 @@ def silhouette_1d(
     outside = F.filter(others, lambda k: ~straddles(k))
     gap = F.array_min(F.transform(outside, lambda k: F.abs(k["s"] / k["m"] - x)))
     probed = F.filter("_all", lambda k: (k["c"] == F.col("own")) | straddles(k))
-    probes = placed.select("x", "own", "n", gap.alias("gap"), F.explode(F.transform(probed, lambda k: k["c"])).alias("c"))
+    probes = placed.select("_of", "x", "own", "n", gap.alias("gap"), F.explode(F.transform(probed, lambda k: k["c"])).alias("c"))
 
-    nodes = probes.groupBy("c", "x").agg(F.sum(F.when(F.col("c") == F.col("own"), F.col("n")).otherwise(0)).alias("w"))
+    nodes = probes.groupBy("_of", "c", "x").agg(F.sum(F.when(F.col("c") == F.col("own"), F.col("n")).otherwise(0)).alias("w"))
     nodes = running_sums(
-        with_chunks(nodes, ["x"], chunks, df, keep=True), ["c"], ["x"],
+        with_chunks(nodes, ["x"], chunks, df, keep=True), ["_of", "c"], ["x"],
         {"nl": F.col("w"), "sl": F.col("w") * F.col("x")}, totals=True,
     ).drop(CHUNK)
     reach = (
         x * F.col("nl") - F.col("sl") + (F.col("sl_total") - F.col("sl")) - x * (F.col("nl_total") - F.col("nl"))
     )
     nodes = nodes.select(
-        F.col("c").alias("_c"), F.col("x").alias("_x"), reach.alias("d"), F.col("nl_total").alias("m")
+        F.col("_of").alias("_o"), F.col("c").alias("_c"), F.col("x").alias("_x"), reach.alias("d"), F.col("nl_total").alias("m")
     )
-    met = probes.join(nodes, (probes["c"] == nodes["_c"]) & (probes["x"] == nodes["_x"]))
+    met = probes.join(nodes, (probes["_of"] == nodes["_o"]) & (probes["c"] == nodes["_c"]) & (probes["x"] == nodes["_x"]))
     own = F.col("c") == F.col("own")
-    scored = met.groupBy("x", "own").agg(
+    scored = met.groupBy("_of", "x", "own").agg(
         F.max("n").alias("n"),
         F.max(F.when(own, F.col("m"))).alias("m"),
         F.max(F.when(own, F.try_divide(F.col("d"), F.col("m") - 1))).alias("a"),
@@ -169,7 +172,8 @@ def silhouette_1d(
     score = F.when(F.col("m") == 1, F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(b - F.col("a"), F.greatest(b, F.col("a"))), F.lit(0.0))
     )
-    return scored.agg((F.sum(score * F.col("n")) / F.sum("n")).alias("silhouette"))
+    mean = (F.sum(score * F.col("n")) / F.sum("n")).alias("silhouette")
+    return scored.agg(mean) if by is None else scored.groupBy(F.col("_of").alias(by)).agg(mean)
 
 
 def silhouette_squared(df: DataFrame, features: str, cluster: str) -> float:

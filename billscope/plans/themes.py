@@ -55,7 +55,7 @@ def theme_clusters(
     """The whole clustering chain; the scored rows are written down once and read from there."""
     scored = settle(with_similarity(themed, encoder))
     best, scores, model = clusters.k_sweep(scored, "similaridade", ks=ks, starts=starts)
-    labelled = model.transform(clusters.as_vector(scored, "similaridade")).drop("features")
+    labelled = scored.withColumn("cluster", model.place(F.col("similaridade")))
     tokens = labelled.select("cluster", "ID", F.posexplode("tokens_temas").alias("pos", "token"))
     summary = shares.mode_with_share(tokens, "cluster", "token", ["ID", "pos"])
     assigned = shares.assign_theme(

@@ -29,10 +29,10 @@ def chain_themed_rows(spark, sf_dir):
 def chain_theme_clusters(spark, sf_dir):
     """Metrics of the best number of clusters, derived from the sweep over all k."""
     themed = themes.themed_rows(tagged(spark, sf_dir), ["id"])
-    return themes.theme_clusters(themed, starts=1).metrics
+    return themes.theme_clusters(themed).metrics
 
 
 @query("chain_tfidf_clusters")
 def chain_tfidf_clusters(spark, sf_dir):
     rows = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("ementa"))
-    return themes.tfidf_clusters(rows, starts=2).select("id", "cluster", "x", "y")
+    return themes.tfidf_clusters(rows).select("id", "cluster", "x", "y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from billscope.functions import text, vectors
-from billscope.operators import clusters, embed, tfidf
+from billscope.operators import clusters, embed, kmeans, tfidf
 from billscope.queries.registry import query, table, texts
 from billscope.queries.scalars import PARTS_SQL
 
@@ -306,9 +306,9 @@ def embedding_vectors(spark, sf_dir):
 
 @query("c5_kmeans")
 def c5_kmeans(spark, sf_dir):
-    data = embedding_vectors(spark, sf_dir)
-    model = clusters.kmeans_best(data, 5)
-    return model.transform(data).select("vec_id", "cluster")
+    data = table(spark, sf_dir, "embeddings")
+    run = kmeans.kmeans_runs(data, "embedding", [5])[5]
+    return run.transform(data, "embedding").select("vec_id", "cluster")
 
 
 @query("c5_assignment_is_nearest", "select vec_id, true as nearest from embeddings")
@@ -327,10 +327,29 @@ def c5_assignment_is_nearest(spark, sf_dir):
 @query("c7_k_sweep")
 def c7_k_sweep(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_acctbal")
-    best, scores, _ = clusters.k_sweep(customers, "c_acctbal", starts=1)
+    best, scores, _ = clusters.k_sweep(customers, "c_acctbal")
     return scores.withColumn("best", F.col("k") == best)
 
 
+@query("c7_fit_is_at_rest", "select unnest([5, 10, 20]) as k, true as all_filled, true as centres_are_means, true as cost_is_their_spread")
+def c7_fit_is_at_rest(spark, sf_dir):
+    """Whether every cluster has rows, its centre is their mean and the cost is their spread, up to the tolerance."""
+    values = table(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("double").alias("x"))
+    runs = kmeans.kmeans_runs(values, "x", [5, 10, 20], tolerance=0.0)
+    centres = spark.createDataFrame(
+        [(k, i, float(c[0]), run.cost) for k, run in runs.items() for i, c in enumerate(run.values)], "k int, c int, centre double, cost double"
+    )
+    placed = values.select("x", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), run.place(F.col("x")).alias("c")) for k, run in runs.items()])).alias("r"))
+    means = placed.groupBy("r.k", "r.c").agg(
+        F.avg("x").alias("mean"), (F.var_pop("x") * F.count(F.lit(1))).alias("spread")
+    )
+    return centres.join(means, ["k", "c"], "left").groupBy("k").agg(
+        F.bool_and(F.col("mean").isNotNull()).alias("all_filled"),
+        F.coalesce(F.bool_and(F.abs(F.col("centre") - F.col("mean")) < 1e-6), F.lit(False)).alias("centres_are_means"),
+        (F.abs(F.sum("spread") - F.first("cost")) < 1e-6 * F.first("cost")).alias("cost_is_their_spread"),
+    )
+
+
 @query("c15_project2d")
 def c15_project2d(spark, sf_dir):
     return clusters.project_2d(embedding_vectors(spark, sf_dir), "features").select("vec_id", "x", "y")

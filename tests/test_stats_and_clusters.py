@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from billscope.operators import clusters, embed, shares, stats, tfidf
+from billscope.operators import clusters, embed, kmeans, shares, stats, tfidf
 
 # Golden case: dominant theme per cluster in, roll-up out.
 GOLDEN_IN = {
@@ -185,6 +185,53 @@ def test_sweep_picks_the_true_number_of_bands(spark):
     assert best == 3 and table.count() == 3 and len(model.clusterCenters()) == 3
 
 
+def slow_lloyd(points, weights, centres, rest):
+    rounds = 0
+    while True:
+        rounds += 1
+        near = ((points[:, None, :] - centres[None]) ** 2).sum(2)
+        at = near.argmin(1)
+        after = np.array([np.average(points[at == c], axis=0, weights=weights[at == c]) if (at == c).any() else centres[c] for c in range(len(centres))])
+        moved = ((after - centres) ** 2).sum()
+        centres = after
+        if moved <= rest:
+            return centres, (((points[:, None, :] - centres[None]) ** 2).sum(2).min(1) * weights).sum()
+
+
+@pytest.mark.parametrize("width", [1, 3, 70])
+def test_runs_together_equal_runs_alone(spark, width):
+    draw = np.random.default_rng(width)
+    points = np.round(draw.normal(size=(120, width)) + draw.integers(0, 3, (120, 1)) * 4, 3)
+    weights = draw.integers(1, 4, 120).astype(float)
+    rows = [([float(v) for v in p], float(w)) for p, w in zip(points, weights, strict=True)] + [(None, 1.0), ([float("nan")] * width, 1.0)]
+    frame = spark.createDataFrame(rows, "v array<double>, w double").repartition(4)
+    got = kmeans.kmeans_runs(frame, "v", [2, 4], starts=3, weight="w", tolerance=0.0)
+    # the sample holds all rows, so the same draws give the same starts
+    order = {tuple(r.v): i for i, r in enumerate(frame.where("v is not null").orderBy(F.xxhash64("v", F.lit(42)), "v").collect())}
+    at = np.argsort([order[tuple(float(x) for x in p)] for p in points])
+    for k, run in got.items():
+        starts = [kmeans._first(points[at], weights[at], k, np.random.default_rng((42, k, s))) for s in range(3)]
+        centres, cost = min((slow_lloyd(points, weights, c, 0.0) for c in starts), key=lambda r: r[1])
+        assert run.cost == pytest.approx(cost) and run.values == pytest.approx(kmeans._sorted(centres))
+    if width == 1:
+        one = frame.select(F.get("v", F.lit(0)).alias("x"))
+        placed = one.select("x", got[4].place(F.col("x")).alias("c")).collect()
+        line = got[4].values[:, 0]
+        assert all((r.c is None) == (r.x is None) for r in placed)
+        assert all(r.c == np.abs(line - r.x).argmin() for r in placed if r.x is not None and r.x == r.x)
+    assert kmeans.kmeans_runs(frame.where("w > 9"), "v", [2]) == {}
+
+
+def test_silhouettes_of_several_clusterings_at_once(spark):
+    draw = random.Random(6)
+    points = [(round(draw.random() * 10, 1), draw.randrange(4), g) for g in range(3) for _ in range(60)]
+    frame = spark.createDataFrame(points, "x double, c int, g int")
+    got = {r.g: r.silhouette for r in clusters.silhouette_1d(frame, "x", "c", by="g").collect()}
+    for g in range(3):
+        assert got[g] == pytest.approx(brute_silhouette([p[:2] for p in points if p[2] == g]), abs=1e-12)
+    assert clusters.silhouette_1d(frame.where("g > 5"), "x", "c").first()[0] is None
+
+
 def test_many_centroids_travel_in_parts(spark):
     centroids = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "cluster int, centroid array<double>")
     frame = spark.createDataFrame([(i, [i * 0.7, 1.0]) for i in range(28)], "id int, v array<double>")
