@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from billscope.operators import explain, models, prep
+from billscope.operators import explain, models, prep, tree_paths
 from billscope.queries.registry import query, table
 
 LABELLED = "(select labels.doc_id, lang, source, n_chars, quality, toxic from labels join documents on labels.doc_id = documents.doc_id)"
@@ -154,7 +154,7 @@ def m10_grid_search(spark, sf_dir):
 def m13_period_models(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir)
     _, reports = models.period_reports(
-        train, test, "period", [0, 1], lambda rows: models.fixed_forest(rows, trees=20, depth=8)
+        train, test, "period", [0, 1], models.fixed_forest
     )
     return reports
 
@@ -199,13 +199,12 @@ def m12_confusion(spark, sf_dir):
     return models.confusion(judged, [0, 1, 2], "toxic", "said")
 
 
-def attributed_model(spark, sf_dir, permutations=10):
-    """A forest, the rows it is asked about and their attributions."""
+def attributed_model(spark, sf_dir):
+    """A forest of 200 unlimited trees, the rows it is asked about and their exact attributions."""
     train, test = train_and_test(spark, sf_dir)
-    model = models.fixed_forest(train, trees=20, depth=6)
+    model = models.fixed_forest(train)
     rows = train.unionByName(test)
-    reference = explain.background(train, DIMENSIONS)
-    return model, rows, explain.attributions(model, rows, "vec_id", DIMENSIONS, reference, permutations)
+    return model, rows, tree_paths.tree_attributions(model, rows, "vec_id", DIMENSIONS)
 
 
 def attributed(spark, sf_dir):
@@ -215,7 +214,7 @@ def attributed(spark, sf_dir):
 @query("m14_additivity", "select vec_id, true as adds_up from embeddings")
 def m14_additivity(spark, sf_dir):
     """Whether base and attributions of each row add up to the model's probability."""
-    model, rows, parts = attributed_model(spark, sf_dir, permutations=2)
+    model, rows, parts = attributed_model(spark, sf_dir)
     sums = parts.groupBy("vec_id").agg((F.sum("phi") + F.first("base")).alias("p"))
     said = model.transform(rows).select(F.col("vec_id").alias("_id"), F.get(vector_to_array("probability"), F.lit(1)).alias("q"))
     return sums.join(said, F.col("vec_id") == F.col("_id")).select("vec_id", (F.abs(F.col("p") - F.col("q")) < 1e-9).alias("adds_up"))
