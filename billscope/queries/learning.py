@@ -127,13 +127,13 @@ def m6_report_adds_up(spark, sf_dir):
 @query("m7_forest")
 def m7_forest(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir)
-    return models.report(models.forest(train, ["vec_id"], trees=(20,), depths=(None, 5)).transform(test))
+    return models.report(models.forest(train, ["vec_id"]).transform(test))
 
 
 @query("m8_boosted")
 def m8_boosted(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir)
-    search = models.boosted(train, ["vec_id"], trees=(10,), depths=(3,), rates=(0.1, 0.3))
+    search = models.boosted(train, ["vec_id"], trees=(10, 20, 30), depths=(3,), rates=(0.1, 0.3))
     return models.report(search.transform(test))
 
 

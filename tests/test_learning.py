@@ -115,3 +115,41 @@ def test_attributions_add_up_to_the_prediction(labelled):
     steps = explain.row_breakdown(got, "id", 7).orderBy("place").collect()
     assert len(steps) == 3 and abs(steps[0].phi) >= abs(steps[1].phi)
     assert steps[-1].running == pytest.approx(predicted.where("id = 7").first().q)
+
+
+def test_a_forest_in_stages_scores_like_separate_fits(labelled):
+    columns = ["id"]
+    search = models.forest(labelled, columns, trees=(4, 2, 7), depths=(None, 2))
+    table = {r.params: r for r in models.search_table(search).collect()}
+    assert set(table) == {f"depth={d}, trees={n}" for d in (None, 2) for n in (2, 4, 7)} and any(r.best for r in table.values())
+    folds = prep.stratified_folds(labelled, "label", columns, 3, 42).persist()
+    for depth in (None, 2):
+        for sizes in ((2,), (2, 4)):
+            scores = []
+            for fold in range(3):
+                rows, held = folds.where(F.col("fold") != fold), folds.where(F.col("fold") == fold)
+                # separate forests of the smaller numbers of trees
+                parts = [models.fixed_forest(rows, trees=n - m, depth=depth, seed=42 + i) for i, (n, m) in enumerate(zip(sizes, (0, *sizes)))]
+                judged = models.Votes(parts).transform(held)
+                scores.append({r["class"]: r.f1 for r in models.report(judged).collect()}["1"])
+            assert table[f"depth={depth}, trees={sizes[-1]}"].f1 == pytest.approx(sum(scores) / 3)
+    alone = models.fixed_forest(labelled, trees=5, depth=3)
+    both = models.Votes([alone]).transform(labelled).select("id", "prediction", vector_to_array("probability").alias("p")).orderBy("id").collect()
+    want = alone.transform(labelled).select("id", "prediction", vector_to_array("probability").alias("p")).orderBy("id").collect()
+    assert [(r.id, r.prediction) for r in both] == [(r.id, r.prediction) for r in want]
+    assert all(a.p == pytest.approx(b.p) for a, b in zip(both, want))
+    assert models.report(search.transform(labelled)).where("class = 'accuracy'").count() == 1
+
+
+def test_boosted_prefixes_equal_separate_fits(labelled):
+    from pyspark.ml.classification import GBTClassifier
+
+    long = GBTClassifier(labelCol="label", seed=42, maxIter=6, maxDepth=3, stepSize=0.3).fit(labelled)
+    staged = {r.id: r._margins for r in models.staged_margins(long, labelled, (2, 6)).select("id", "_margins").collect()}
+    for at, size in enumerate((2, 6)):
+        short = GBTClassifier(labelCol="label", seed=42, maxIter=size, maxDepth=3, stepSize=0.3).fit(labelled)
+        for r in short.transform(labelled).select("id", vector_to_array("rawPrediction").alias("raw")).collect():
+            assert staged[r.id][at] == pytest.approx(r.raw[1], abs=1e-12)
+    search = models.boosted(labelled, ["id"], trees=(2, 4), depths=(2,), rates=(0.1, 0.3))
+    table = models.search_table(search).collect()
+    assert len(table) == 4 and models.report(search.transform(labelled)).where("class = '1'").first().f1 > 0.8
