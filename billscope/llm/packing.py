@@ -124,29 +124,31 @@ def fill(items: list[tuple], window: int, numbers: Corpus) -> tuple[list[list[tu
         return [], []
     index = Index([item[3] for item in items], numbers)
     rest: list[tuple | None] = list(items)
-    closed, total = [], sum(len(item[3]) for item in items)
+    # ids left of each item; those that are used up leave the rankings before they are walked
+    size = np.array([len(item[3]) for item in items])
+    closed, total = [], int(size.sum())
     for seed in range(len(items)):
         if rest[seed] is None:
             continue
         if total < window:
             break
         taken, room = [rest[seed]], window - len(rest[seed][3])
-        rest[seed] = None
+        rest[seed], size[seed] = None, 0
         if room:
-            ranked = np.argsort(-index.scores(seed), kind="stable").tolist()
-            for i in ranked:
-                if room and rest[i] is not None and len(rest[i][3]) <= room:
+            ranked = np.argsort(-index.scores(seed), kind="stable")
+            ranked = ranked[size[ranked] > 0]
+            for i in ranked[size[ranked] <= room].tolist():
+                if size[i] <= room:
                     taken.append(rest[i])
-                    room -= len(rest[i][3])
-                    rest[i] = None
-            for i in ranked:
-                if not room:
-                    break
-                if rest[i] is not None:
-                    doc, doc_tokens, start, ids = rest[i]
-                    taken.append((doc, doc_tokens, start, ids[:room]))
-                    rest[i] = (doc, doc_tokens, start + room, ids[room:])
-                    room = 0
+                    room -= int(size[i])
+                    rest[i], size[i] = None, 0
+                    if not room:
+                        break
+            if room:
+                i = int(ranked[size[ranked] > 0][0])
+                doc, doc_tokens, start, ids = rest[i]
+                taken.append((doc, doc_tokens, start, ids[:room]))
+                rest[i], size[i] = (doc, doc_tokens, start + room, ids[room:]), size[i] - room
         closed.append(taken)
         total -= window
     return closed, [item for item in rest if item is not None]
