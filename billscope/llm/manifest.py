@@ -23,7 +23,7 @@ those asked for, clashing names too, play no part.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +110,7 @@ def _descend(blocks: DataFrame, above: DataFrame, carried: Sequence[str], payloa
     return now.drop("n")
 
 
-def prove(nodes: DataFrame, payload: Sequence[str], above: DataFrame | None = None, carried: Sequence[str] = ()) -> DataFrame:
+def prove(nodes: DataFrame, payload: Sequence[str], above: Callable[[DataFrame], DataFrame] | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """Every node of ``nodes`` (tree, n, pos, h, payload) with ``path`` and ``top``, its tree's digest.
 
     ``above`` is asked for the path above each tree, with the table (tree, h) of all tops, and gives
