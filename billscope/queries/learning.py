@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from billscope.operators import explain, models, prep, tree_paths
+from billscope.operators import explain, models, perceptron, prep, tree_paths
 from billscope.queries.registry import query, table
 
 LABELLED = "(select labels.doc_id, lang, source, n_chars, quality, toxic from labels join documents on labels.doc_id = documents.doc_id)"
@@ -140,8 +140,7 @@ def m8_boosted(spark, sf_dir):
 @query("m9_mlp")
 def m9_mlp(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir, scaled=True)
-    search = models.neural_net(train, ["vec_id"], len(DIMENSIONS), steps=50)
-    return models.report(search.transform(test))
+    return models.report(perceptron.perceptrons(train, ["vec_id"]).transform(test))
 
 
 @query("m10_grid_search")
