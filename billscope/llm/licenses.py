@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -323,9 +324,12 @@ def scan_licenses(
     def work(batches: Iterator[pa.RecordBatch]):
         known = prepared(templates or TEMPLATES, coverage)
         rare = set().union(*(t.rare for t in known))
-        any_rare = re.compile("|".join(map(re.escape, sorted(rare, key=len, reverse=True))), re.IGNORECASE)
+        any_rare = ahocorasick.Automaton()
+        for w in rare:
+            any_rare.add_word(w, w)
+        any_rare.make_automaton()
         for doc, text in each_row(batches):
-            if not any_rare.search(text):
+            if next(any_rare.iter(text.lower()), None) is None:
                 continue
             words, starts, ends = words_of(text)
             present = set(words)
