@@ -147,6 +147,15 @@ def _months(start: Column, end: Column) -> Column:
     return F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))
 
 
+def _spread(intervals: DataFrame, days: DataFrame, start: str, end: str) -> DataFrame:
+    """Each interval once for every month ``_m`` it touches between the first and the last of the days ``_d``."""
+    span = days.agg(F.struct(F.min("_d").alias("low"), F.max("_d").alias("high")).alias("_span")).scalar()
+    cut = intervals.withColumn("_span", span)
+    low, high = F.greatest(F.col(start), F.col("_span.low")), F.least(F.col(end), F.col("_span.high"))
+    touched = (F.col(start) <= F.col(end)) & F.col("_span.low").isNotNull() & (low <= high)
+    return cut.where(touched).withColumn("_m", F.explode(_months(low, high)))
+
+
 def active_on(
     intervals: DataFrame,
     days: DataFrame,
@@ -161,13 +170,8 @@ def active_on(
     measured size allows.
     """
     wanted = days.select(F.col(day).cast("date").alias("_d")).distinct()
-    span = wanted.agg(F.struct(F.min("_d").alias("low"), F.max("_d").alias("high")).alias("_span")).scalar()
+    spread = _spread(intervals, wanted, start, end)
     wanted = wanted.withColumn("_dm", F.trunc("_d", "MM"))
-    cut = intervals.withColumn("_span", span)
-    low, high = F.greatest(F.col(start), F.col("_span.low")), F.least(F.col(end), F.col("_span.high"))
-    spread = cut.where((F.col(start) <= F.col(end)) & F.col("_span.low").isNotNull() & (low <= high)).withColumn(
-        "_m", F.explode(_months(low, high))
-    )
     inside = (spread["_m"] == wanted["_dm"]) & wanted["_d"].between(F.col(start), F.col(end))
     return spread.join(wanted, inside, "inner").select(F.col("_d").alias(day), *intervals.columns)
 
@@ -186,7 +190,7 @@ def first_match_on(
     """For each (key, day) the value of the first covering interval, else the default.
 
     The join key is (key, month), which also cuts the history of one busy key into
-    months. It is an inner join, so Spark may split the intervals of a busy month, and
+    months; only months within the span of the days asked for are made. It is an inner join, so Spark may split the intervals of a busy month, and
     matches are reduced to one per (key, day) on the map side; days without a match come
     back by (key, day), unique on both sides. Repeated look-ups are counted first and given
     back at the end.
@@ -195,10 +199,8 @@ def first_match_on(
     asked = lookups.groupBy(F.col(key).alias("_k"), F.col(day).cast("date").alias("_d")).agg(
         F.count(F.lit(1)).alias("_times")
     )
+    spread = _spread(intervals, lookups.select(F.col(day).cast("date").alias("_d")), start, end)
     asked = asked.withColumn("_dm", F.trunc("_d", "MM"))
-    spread = intervals.where(F.col(start) <= F.col(end)).withColumn(
-        "_m", F.explode(_months(F.col(start), F.col(end)))
-    )
     covers = (
         (asked["_k"] == spread[key])
         & (asked["_dm"] == spread["_m"])

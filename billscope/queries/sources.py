@@ -172,7 +172,20 @@ ALL_TABLES = [
 ]
 
 
-@query("s8_schema_report")
+# Spark's names of the column types that the tables hold.
+TYPE_NAMES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "TIMESTAMP": "timestamp_ntz",
+    "FLOAT[]": "array<float>", "BOOLEAN": "boolean", "FLOAT": "float", "TIMESTAMP WITH TIME ZONE": "timestamp",
+}
+REPORT_SQL = "\nunion all\n".join(f"""
+select '{t}' as table_name, (place - 1)::int as position, d.column_name, t.spark as column_type, coalesce(c.n, 0)::bigint as non_null
+from (select column_name, column_type, row_number() over () as place from (describe {t})) d
+join (values {", ".join(f"('{k}', '{v}')" for k, v in TYPE_NAMES.items())}) t(duck, spark) on t.duck = d.column_type
+left join (unpivot (select count(columns(*)) from {t}) on columns(*) into name column_name value n) c on c.column_name = d.column_name
+""" for t in ALL_TABLES)
+
+
+@query("s8_schema_report", REPORT_SQL)
 def s8_schema_report(spark, sf_dir):
     return tables.column_report(
         tables.open_tables(spark, {t: f"{sf_dir}/{t}.parquet" for t in ALL_TABLES})

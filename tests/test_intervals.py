@@ -169,3 +169,18 @@ def test_runs_that_begin_on_one_day_keep_their_order(spark):
     assert {(r.id, str(r.data)): r.v for r in got.collect()} == {
         (1, "2024-01-01"): "Z", (1, "2024-02-01"): "M", (2, "2024-01-01"): intervals.NOT_FOUND
     }
+
+
+def test_intervals_of_centuries_are_cut_to_the_days_asked(spark):
+    rows = [(1, "A", "1500-01-01", "2024-03-10", 0), (1, "B", "2024-03-10", "2600-01-01", 1), (2, "C", "1000-01-01", "1900-01-01", 0)]
+    frame = spark.createDataFrame(rows, "id int, v string, a string, b string, seq int")
+    frame = frame.withColumns({"a": F.col("a").cast("date"), "b": F.col("b").cast("date")})
+    asked = spark.createDataFrame([(k, d) for k in (1, 2) for d in DAYS], "id int, data string")
+    days = asked.select(F.col("data").cast("date").alias("_d"))
+    assert intervals._spread(frame, days, "a", "b").count() == 4 + 3
+    assert intervals._spread(frame, days.where("false"), "a", "b").count() == 0
+    got = intervals.first_match_on(asked, frame, "id", "v", start="a", end="b", order=["seq"])
+    assert {(r.id, str(r.data)): r.v for r in got.collect()} == {
+        **{(1, d): "A" if d <= "2024-03-10" else "B" for d in DAYS}, **{(2, d): intervals.NOT_FOUND for d in DAYS},
+    }
+    assert intervals.first_match_on(asked.where("false"), frame, "id", "v", start="a", end="b").count() == 0
