@@ -34,6 +34,8 @@ from billscope.llm.common import documents, each_row, map_arrays, map_batches
 from billscope.shared import settle
 
 SHARD = 512
+#: Tokens in at least this many members of a shard have a full row of weights instead of postings.
+DENSE = 16
 #: Tokens of left-overs in a partition, on average.
 PARTITION_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
@@ -94,25 +96,40 @@ def corpus(rows: DataFrame) -> Corpus:
 
 
 class Index:
-    """BM25 inverted index of one shard: postings sorted by token."""
+    """BM25 inverted index of one shard.
+
+    Tokens are numbered by their place among the shard's tokens. Frequent ones are rows of a matrix
+    of weights, at most ``window * SHARD / DENSE`` of them; the others are postings sorted by token.
+    """
 
     def __init__(self, shard: list[np.ndarray], numbers: Corpus):
-        each = [np.unique(ids, return_counts=True) for ids in shard]
-        owner = np.repeat(np.arange(len(shard)), [len(t) for t, _ in each])
-        token, tf = (np.concatenate(x) for x in zip(*each, strict=True))
-        length = np.array([len(ids) for ids in shard])[owner]
+        size, lengths = len(shard), np.array([len(ids) for ids in shard])
+        # one sort of (member, token) serves all members
+        pair = np.repeat(np.arange(size) << 32, lengths) | np.concatenate(shard)
+        pair, tf = np.unique(pair, return_counts=True)
+        owner, token = pair >> 32, pair & 0xFFFFFFFF
+        length = lengths[owner]
         weight = numbers.idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / numbers.mean_length))
-        order = np.argsort(token, kind="stable")
-        self.size, self.token, self.owner, self.weight = len(shard), token[order], owner[order], weight[order]
-        self.terms = [t for t, _ in each]
+        names, term, count = np.unique(token, return_inverse=True, return_counts=True)
+        row = np.where(count >= DENSE, np.cumsum(count >= DENSE) - 1, -1)
+        dense = row[term] >= 0
+        self.size, self.rows = size, np.zeros((int(row.max(initial=-1)) + 1, size), np.float32)
+        self.rows[row[term[dense]], owner[dense]] = weight[dense]
+        order = np.flatnonzero(~dense)[np.argsort(term[~dense], kind="stable")]
+        self.owner, self.weight = owner[order], weight[order]
+        sizes = np.where(row >= 0, 0, count)
+        self.low, self.sizes = np.cumsum(sizes) - sizes, sizes
+        # per member: rows of its frequent tokens, numbers of its other tokens
+        bounds = np.searchsorted(owner, np.arange(1, size))
+        self.frequent = [r[r >= 0] for r in np.split(row[term], bounds)]
+        self.rare = [t[self.sizes[t] > 0] for t in np.split(term, bounds)]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every member for the ids of the seed as query."""
-        low = np.searchsorted(self.token, self.terms[seed])
-        high = np.searchsorted(self.token, self.terms[seed], "right")
-        sizes = high - low
-        at = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.owner[at], self.weight[at], self.size)
+        rare = self.rare[seed]
+        sizes = self.sizes[rare]
+        at = np.repeat(self.low[rare] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.owner[at], self.weight[at], self.size) + self.rows[self.frequent[seed]].sum(0)
 
 
 def fill(items: list[tuple], window: int, numbers: Corpus) -> tuple[list[list[tuple]], list[tuple]]:

@@ -41,7 +41,7 @@ class TokenIds:
             ids = self.ranked.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return np.fromiter(ids, "<u4", len(ids)).tobytes()
 
 
 def byte_letters() -> dict[str, int]:

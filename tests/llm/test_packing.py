@@ -69,6 +69,20 @@ def test_scores_are_bm25():
         assert np.allclose(index.scores(seed), plain)
 
 
+def test_frequent_and_rare_tokens_score_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+    shard = [np.minimum(rng.zipf(1.3, rng.integers(1, 80)), 60_000).astype("<u4") for _ in range(40)]
+    numbers = packing.Corpus(90, 4000, np.linspace(0.1, 3, 60_001))
+    found = []
+    for dense in (1, 5, 16, 1000):
+        monkeypatch.setattr(packing, "DENSE", dense)
+        index = packing.Index(shard, numbers)
+        assert len(index.rows) == sum(n >= dense for n in np.unique(np.concatenate([np.unique(s) for s in shard]), return_counts=True)[1])
+        found.append([index.scores(seed) for seed in range(len(shard))])
+    for other in found[:-1]:
+        assert np.allclose(other, found[-1], rtol=1e-5)
+
+
 def test_neighbours_fill_the_window():
     sea, oven = np.array([1, 2, 3, 4] * 10, "<u4"), np.array([11, 12, 13, 14] * 10, "<u4")
     items = [(i, 40, 0, sea if i % 2 == 0 else oven) for i in range(8)]
