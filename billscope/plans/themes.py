@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billscope.functions import text
-from billscope.operators import clusters, embed, rows, shares, tfidf
+from billscope.operators import clusters, embed, latent, rows, shares, tfidf
 from billscope.shared import settle
 
 # Fixed value: themes that start so come from a failed fetch.
@@ -36,13 +36,20 @@ def themed_rows(bills: DataFrame, order: Sequence[str], summary: str = "ementa_d
     return rows.reject_prefix(main, "tema_principal", ERROR_PREFIX)
 
 
-def with_similarity(themed: DataFrame, encoder: embed.Encoder | None = None) -> DataFrame:
+def encoded_by(df: DataFrame, text: str, encoder: embed.Encoder | latent.Latent, output: str) -> DataFrame:
+    """Vectors of a text or of an array of texts, from a user's model or one learned from a corpus."""
+    if isinstance(encoder, latent.Latent):
+        return encoder.encode(df, text, output)
+    return embed.encode_with(df, text, encoder, output)
+
+
+def with_similarity(themed: DataFrame, encoder: embed.Encoder | latent.Latent | None = None) -> DataFrame:
     """Length-weighted best similarity; without an encoder letter profiles are compared."""
     if encoder is None:
         parts, themes = embed.letter_profiles(F.col("sub_ementas")), embed.letter_profiles(F.col("tokens_temas"))
         return embed.weighted_best_similarity(themed, "sub_ementas", parts, themes, "similaridade")
-    encoded = embed.encode_with(themed, "sub_ementas", encoder, "_parts")
-    encoded = embed.encode_with(encoded, "tokens_temas", encoder, "_themes")
+    encoded = encoded_by(themed, "sub_ementas", encoder, "_parts")
+    encoded = encoded_by(encoded, "tokens_temas", encoder, "_themes")
     scored = embed.weighted_best_similarity(
         encoded, "sub_ementas", F.col("_parts"), F.col("_themes"), "similaridade"
     )
@@ -50,7 +57,7 @@ def with_similarity(themed: DataFrame, encoder: embed.Encoder | None = None) ->
 
 
 def theme_clusters(
-    themed: DataFrame, encoder: embed.Encoder | None = None, ks: Sequence[int] = tuple(range(5, 51, 5)), starts: int = 10
+    themed: DataFrame, encoder: embed.Encoder | latent.Latent | None = None, ks: Sequence[int] = tuple(range(5, 51, 5)), starts: int = 10
 ) -> ThemeClusters:
     """The whole clustering chain; the scored rows are written down once and read from there."""
     scored = settle(with_similarity(themed, encoder))
@@ -87,13 +94,13 @@ def tfidf_clusters(
 
 
 def sentence_clusters(
-    bills: DataFrame, encoder: embed.Encoder | None = None, summary: str = "ementa", k: int = 5, starts: int = 10
+    bills: DataFrame, encoder: embed.Encoder | latent.Latent | None = None, summary: str = "ementa", k: int = 5, starts: int = 10
 ) -> DataFrame:
-    """The same on sentence vectors of a user's model, or hashed n-grams without one."""
+    """The same on sentence vectors of a user's or a learned model, or hashed n-grams without one."""
     filled = rows.fill_nulls(bills, {summary: ""})
     encoded = (
         embed.encode(filled, summary, "_vector") if encoder is None
-        else embed.encode_with(filled, summary, encoder, "_vector")
+        else encoded_by(filled, summary, encoder, "_vector")
     )
     vectors = clusters.as_vector(encoded, "_vector")
     labelled = clusters.kmeans_best(vectors, k, starts=starts).transform(vectors)

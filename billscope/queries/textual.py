@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from billscope.functions import text, vectors
-from billscope.operators import clusters, embed, kmeans, tfidf
+from billscope.operators import clusters, embed, kmeans, latent, tfidf
+from billscope.plans import themes
 from billscope.queries.registry import query, table, texts
 from billscope.queries.scalars import PARTS_SQL
 
@@ -48,6 +49,44 @@ def c3_encode(spark, sf_dir):
     return embed.encode(documents, "text", size=64).select("doc_id", "vector")
 
 
+def learned(spark, sf_dir) -> latent.Latent:
+    return latent.fit(texts(spark, sf_dir), "text", words=STOP_WORDS)
+
+
+@query("c3_latent_vectors")
+def c3_latent_vectors(spark, sf_dir):
+    """Vectors of all documents from the singular vectors of their own TF-IDF rows."""
+    return learned(spark, sf_dir).encode(texts(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", "vector")
+
+
+@query("c3_latent_energy", f"""
+with {TERMS_SQL}, n as (select count(*) as n from documents),
+seen as (select term from counted, n group by term, n having count(*) >= 3 and count(*) <= 0.8 * n)
+select d.doc_id, s.doc_id is not null as has_terms, true as within_length_one
+from documents d left join (select distinct doc_id from counted join seen on counted.term = seen.term) s on d.doc_id = s.doc_id
+""")
+def c3_latent_energy(spark, sf_dir):
+    """Which documents have a learned vector; the projection of a row of length one is never longer.
+
+    Terms are told apart by hash; the SQL agrees as long as no document's only counted term owes
+    its frequency to another one in its bucket.
+    """
+    rows = c3_latent_vectors(spark, sf_dir)
+    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select("doc_id", (length > 0).alias("has_terms"), (length <= 1 + 1e-9).alias("within_length_one"))
+
+
+@query("c4_latent_similarity")
+def c4_latent_similarity(spark, sf_dir):
+    """How well a document's sub-texts match its themes, by vectors learned from all documents."""
+    documents = texts(spark, sf_dir, "source", "lang").select(
+        "doc_id", text.split_trim(F.col("text")).alias("sub_ementas"),
+        F.array("source", "lang", F.lit("legislation"), F.lit("health and economy")).alias("tokens_temas"),
+    )
+    scored = themes.with_similarity(documents, learned(spark, sf_dir))
+    return scored.select("doc_id", F.col("similaridade").alias("similarity"))
+
+
 def profile_sql(value: str) -> str:
     return (
         f"list_transform(string_split('{embed.LETTERS}', ''), "
