@@ -71,6 +71,23 @@ class Boosted:
     fit: Growth
     features: str = "features"
 
+    def nodes(self, names: Sequence[str]) -> list[tuple[int, int, str | None, float | None, float]]:
+        """Tree, node, feature and threshold (both null in a leaf; smaller and equal values go left) and value.
+
+        The children of node n are 2 n + 1 and 2 n + 2.
+        """
+        rows = []
+        for t, (feature, cut, value) in enumerate(self.fit.trees):
+            alive = {0}
+            for n in range(len(feature)):
+                if n not in alive:
+                    continue
+                f = int(feature[n])
+                if f >= 0:
+                    alive |= {2 * n + 1, 2 * n + 2}
+                rows.append((t, n, names[f] if f >= 0 else None, float(self.edges[f][cut[n]]) if f >= 0 else None, float(value[n])))
+        return rows
+
     def transform(self, df: DataFrame) -> DataFrame:
         """The rows with ``probability`` (vector) and ``prediction``; both null without usable features."""
         edges, fit = self.edges, self.fit

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from billscope.operators import explain, models, perceptron, prep, tree_paths
+from billscope.operators import boosting, explain, models, perceptron, prep, tree_paths
 from billscope.queries.registry import query, table
 
 LABELLED = "(select labels.doc_id, lang, source, n_chars, quality, toxic from labels join documents on labels.doc_id = documents.doc_id)"
@@ -137,6 +137,46 @@ def m8_boosted(spark, sf_dir):
     return models.report(search.transform(test))
 
 
+@query("m8_second_order")
+def m8_second_order(spark, sf_dir):
+    train, test = train_and_test(spark, sf_dir)
+    search = boosting.boosted_search(train, ["vec_id"], trees=(10, 20, 30), depths=(3,), rates=(0.1, 0.3))
+    return models.report(search.transform(test))
+
+
+STUMP = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query("m8_first_split", """
+with v as (
+  select unnest(['l_quantity', 'l_discount', 'l_tax']) as feature,
+         unnest([l_quantity::double, l_discount::double, l_tax::double]) as x, (l_returnflag = 'R')::int as y from lineitem
+), s as (select feature, x, sum(0.5 - y)::double as g, count(*) / 4 as h from v where x is not null and y is not null group by 1, 2),
+c as (
+  select feature, x, sum(g) over up as gl, sum(h) over up as hl,
+         sum(g) over (partition by feature) as g, sum(h) over (partition by feature) as h
+  from s window up as (partition by feature order by x)
+), gains as (
+  select *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) as gain from c where hl >= 1 and h - hl >= 1
+)
+select feature, x as threshold, round(-gl / (hl + 1), 8) as "left", round(-(g - gl) / (h - hl + 1), 8) as "right"
+from gains order by gain desc limit 1
+""")
+def m8_first_split(spark, sf_dir):
+    """The split with the highest second-order gain, and its leaves; each value of the columns has a bin."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.array(*[F.col(c).cast("double") for c in STUMP]).alias("features"),
+    )
+    search = boosting.boosted_search(rows, ["l_orderkey", "l_linenumber"], trees=(1,), depths=(1,), rates=(1.0,), folds=2, bins=128)
+    nodes = spark.createDataFrame(search.bestModel.nodes(STUMP), "tree int, node int, feature string, threshold double, value double")
+    return nodes.agg(
+        F.max("feature").alias("feature"), F.max("threshold").alias("threshold"),
+        F.round(F.max(F.when(F.col("node") == 1, F.col("value"))), 8).alias("left"),
+        F.round(F.max(F.when(F.col("node") == 2, F.col("value"))), 8).alias("right"),
+    )
+
+
 @query("m9_mlp")
 def m9_mlp(spark, sf_dir):
     train, test = train_and_test(spark, sf_dir, scaled=True)

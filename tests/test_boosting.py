@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from billscope.operators import boosting
+from billscope.operators import boosting, models
 
 
 def table(n=240, seed=5):
@@ -67,6 +67,10 @@ def test_search_finds_the_rule_and_judges_rows(spark):
     search = boosting.boosted_search(df, ["id"], trees=(4, 2), depths=(1, 2), rates=(0.3,), folds=2, bins=16)
     assert [(p["depth"], p["trees"]) for p in search.points] == [(1, 2), (1, 4), (2, 2), (2, 4)]
     assert min(search.scores) > 0.8
+    listed = models.search_table(search).collect()
+    assert len(listed) == 4 and any(r.best for r in listed) and listed[1].params == "depth=1, rate=0.3, trees=4"
+    nodes = search.bestModel.nodes(["a", "b", "c"])
+    assert nodes[0][:4] == (0, 0, "b", 6.0) and {t for t, *_ in nodes} == set(range(len(search.bestModel.fit.trees)))
     judged = search.transform(frame(spark, x, y, [(900, None, 1), (901, [1.0], 0)])).collect()
     assert all(r.prediction is None and r.probability is None for r in judged if r.id >= 900)
     right = sum(r.prediction == r.label for r in judged if r.id < 900)
