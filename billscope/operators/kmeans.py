@@ -3,7 +3,12 @@
 A round is one pass over the rows. Each task adds up its rows per (run, cluster) and gives one row
 for each; those sums are added by one aggregate. So a sweep over ten numbers of clusters with ten
 starts takes as many passes as its slowest run, not the sum of all. Runs that have come to rest leave
-the next round. In one dimension the nearest centre is found by binary search in the sorted centres.
+the next round.
+
+In one dimension the values are sorted once, in chunks of ``LINE`` on their own; a round then looks up the
+borders between the centres in each chunk and sums what lies between them, so that a run costs a pass over
+plain arrays and no look-up per value. A run whose clusters keep their numbers of rows is at rest, as the
+same stretches of the line give the same means.
 
 Starts are drawn by k-means++ from the ``SEED_SAMPLE`` rows of least hash; only the first centres
 depend on that sample, every round and every cost covers all rows.
@@ -25,6 +30,10 @@ from billscope.shared import ship
 SEED_SAMPLE = 10_000
 #: Dimensions whose sums travel in one row.
 WIDTH = 64
+#: Values of a one-dimensional chunk.
+LINE = 1 << 14
+#: One-dimensional chunks that a task has, on average, where its rows come in small partitions.
+LINES = 4
 
 
 @dataclass(frozen=True)
@@ -70,6 +79,7 @@ def kmeans_runs(
     value = (F.col(column) if kind == "array" else F.array(F.col(column))).cast("array<double>")
     rows = df.select(value.alias("v"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     rows = rows.where("v is not null and w > 0 and not exists(v, x -> x is null or isnan(x))").persist()
+    line = None
     try:
         sample = rows.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(SEED_SAMPLE).collect()
         if not sample:
@@ -80,22 +90,34 @@ def kmeans_runs(
         runs = [(k, start) for k in ks for start in range(starts)]
         now = [_sorted(_first(points, weights, k, np.random.default_rng((seed, k, start)))) for k, start in runs]
         moving, rounds = list(range(len(runs))), [0] * len(runs)
+        counts: dict[int, list[int]] = {}
+        if points.shape[1] == 1:
+            # few values make few tasks, whatever the partitions that they come in
+            parts = -(-rows.count() // (LINE * LINES))
+            line = _line(rows.coalesce(parts)).persist()
         for done in range(1, most_rounds + 1):
-            found = _round(rows, {i: now[i] for i in moving})
+            trial = {i: now[i] for i in moving}
+            found = _round(rows, trial) if line is None else _line_round(line, trial)
             still = []
             for i in moving:
-                size, total, _ = found[i]
+                size, total = found[i][:2]
                 after = np.where(size[:, None] > 0, total / np.maximum(size, 1e-300)[:, None], now[i])
                 moved = float(((after - now[i]) ** 2).sum())
                 now[i], rounds[i] = _sorted(after), done
-                if moved > rest:
+                same = line is not None and counts.get(i) == found[i][3]
+                if line is not None:
+                    counts[i] = found[i][3]
+                if moved > rest and not same:
                     still.append(i)
             moving = still
             if not moving:
                 break
-        costs = {i: cost for i, (_, _, cost) in _round(rows, dict(enumerate(now))).items()}
+        last = dict(enumerate(now))
+        costs = {i: r[2] for i, r in (_round(rows, last) if line is None else _line_round(line, last, True)).items()}
     finally:
         rows.unpersist()
+        if line is not None:
+            line.unpersist()
     best: dict[int, int] = {}
     for i, (k, _) in enumerate(runs):
         if k not in best or costs[i] < costs[best[k]]:
@@ -176,3 +198,74 @@ def _round(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[n
         total[r.cluster, low : low + WIDTH] = r.total[: width - low]
         out[r.run] = (size, total, cost + (r.cost if r.part == 0 else 0.0))
     return out
+
+
+def _line(rows: DataFrame) -> DataFrame:
+    """Chunks of sorted one-dimensional values with their weights, as plain arrays."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def written(x: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+            order = np.argsort(x, kind="stable")
+            return pa.RecordBatch.from_arrays([pa.array([x[order].tobytes()]), pa.array([w[order].tobytes()])], names=["x", "w"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append((batch.column(0).flatten().to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(x) for x, _ in held) >= LINE:
+                x, w = (np.concatenate(part) for part in zip(*held, strict=True))
+                whole = len(x) // LINE * LINE
+                for at in range(0, whole, LINE):
+                    yield written(x[at : at + LINE], w[at : at + LINE])
+                held = [(x[whole:], w[whole:])]
+        x, w = (np.concatenate(part) for part in zip(*held, strict=True)) if held else (np.zeros(0), np.zeros(0))
+        if len(x):
+            yield written(x, w)
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(work, "x binary, w binary")
+
+
+def _line_round(
+    line: DataFrame, centres: dict[int, np.ndarray], cost: bool = False
+) -> dict[int, tuple[np.ndarray, np.ndarray, float, list[int]]]:
+    """For each run: weight, sum and number of the values of each cluster, and the cost if asked."""
+
+    def stretches(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums of the values up to each end since the one before."""
+        starts = np.append(0, ends[:-1])
+        out, some = np.zeros(len(ends)), ends > starts
+        out[some] = np.add.reduceat(values, starts[some])
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {i: np.zeros((4, len(c))) for i, c in centres.items()}
+        borders = {i: (c[:-1, 0] + c[1:, 0]) / 2 for i, c in centres.items()}
+        for batch in batches:
+            for xs, ws in zip(batch.column(0), batch.column(1), strict=True):
+                x, w = np.frombuffer(xs.as_buffer()), np.frombuffer(ws.as_buffer())
+                weighted = x * w
+                for i, c in centres.items():
+                    # a value on a border belongs to the lower centre
+                    ends = np.append(np.searchsorted(x, borders[i], side="right"), len(x))
+                    each = np.diff(ends, prepend=0)
+                    sums[i][:3] += stretches(w, ends), stretches(weighted, ends), each
+                    if cost:
+                        sums[i][3] += stretches((x - np.repeat(c[:, 0], each)) ** 2 * w, ends)
+        for i, (size, total, n, far) in sums.items():
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(n), i, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)),
+                pa.array(size), pa.array(total), pa.array(n.astype(np.int64)), pa.array(far),
+            ], names=["run", "cluster", "size", "total", "n", "cost"])
+
+    added = line.mapInArrow(work, "run int, cluster int, size double, total double, n long, cost double").groupBy("run", "cluster").agg(
+        *[F.sum(c).alias(c) for c in ("size", "total", "n", "cost")]
+    )
+    out = {i: (np.zeros(len(c)), np.zeros(c.shape), 0.0, [0] * len(c)) for i, c in centres.items()}
+    for r in added.collect():
+        size, total, far, n = out[r.run]
+        size[r.cluster], total[r.cluster, 0], n[r.cluster] = r.size, r.total, r.n
+        out[r.run] = (size, total, far + r.cost, n)
+    return out

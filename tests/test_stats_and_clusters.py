@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,18 @@ def test_many_centroids_travel_in_parts(spark):
     whole = clusters.nearest_centroid(frame, "v", centroids).select("id", "cluster", "distance").collect()
     parts = clusters.nearest_centroid(frame, "v", centroids, limit=3).select("id", "cluster", "distance").collect()
     assert sorted(whole) == sorted(parts)
+
+
+def test_a_round_on_the_line_equals_a_look_up_of_each_value(spark):
+    rng = np.random.default_rng(5)
+    x, w = np.round(rng.normal(0, 9, 40_000), 2), rng.integers(1, 4, 40_000).astype(float)
+    frame = spark.createDataFrame(pd.DataFrame({"v": list(x[:, None]), "w": w}), "v array<double>, w double")
+    # a centre without values, equal centres, and values on a border
+    centres = {0: np.array([[-1e6], [-3.0], [0.0], [1.0], [1.0], [7.5]]), 1: np.array([[0.25]])}
+    line = kmeans._line(frame).persist()
+    assert line.count() < 16  # rounds pass over chunks, not over values
+    got = kmeans._line_round(line, centres, True)
+    line.unpersist()
+    for i, (size, total, cost) in kmeans._round(frame, centres).items():
+        assert np.array_equal(got[i][0], size) and sum(got[i][3]) == len(x)
+        assert np.allclose(got[i][1], total, rtol=1e-12, atol=1e-9) and np.isclose(got[i][2], cost, rtol=1e-12)
