@@ -59,6 +59,13 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4", copy=False)
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in rising order and how often each occurs; one plain sort, as ``numpy.unique`` costs several for short arrays."""
+    ids = np.sort(ids)
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], np.diff(first, append=len(ids))
+
+
 @dataclass(frozen=True)
 class Corpus:
     """Numbers of all documents that BM25 needs."""
@@ -79,7 +86,7 @@ def corpus(rows: DataFrame) -> Corpus:
         counts, n, total = np.zeros(1 << 16, np.int64), 0, 0
         for wide, raw in each_row(batches):
             ids = _ids(raw, wide)
-            n, total, seen = n + 1, total + len(ids), np.unique(ids)
+            n, total, seen = n + 1, total + len(ids), distinct(ids)[0]
             if len(seen) and seen[-1] >= len(counts):
                 counts = np.concatenate([counts, np.zeros(int(seen[-1]) + 1 - len(counts), np.int64)])
             counts[seen] += 1
@@ -152,8 +159,8 @@ def fill(items: list[tuple], window: int, numbers: Corpus) -> tuple[list[list[tu
         taken, room = [rest[seed]], window - len(rest[seed][3])
         rest[seed], size[seed] = None, 0
         if room:
-            ranked = np.argsort(-index.scores(seed), kind="stable")
-            ranked = ranked[size[ranked] > 0]
+            live = np.flatnonzero(size)
+            ranked = live[np.argsort(-index.scores(seed)[live], kind="stable")]
             for i in ranked[size[ranked] <= room].tolist():
                 if size[i] <= room:
                     taken.append(rest[i])
@@ -210,9 +217,12 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
             ids = _ids(raw, wide)
             start = len(ids) - len(ids) % window
             if start < len(ids):
-                seen, counts = np.unique(ids[start:], return_counts=True)
-                telling = seen[np.argsort(-numbers.idf[seen] * counts, kind="stable")[:2]].tolist()
-                yield telling[0], telling[-1], row, doc, len(ids), start, wide, raw[start * (4 if wide else 2) :]
+                seen, counts = distinct(ids[start:])
+                told = numbers.idf[seen] * counts
+                best = int(told.argmax())
+                told[best] = -1.0
+                second = int(told.argmax()) if len(told) > 1 else best
+                yield int(seen[best]), int(seen[second]), row, doc, len(ids), start, wide, raw[start * (4 if wide else 2) :]
 
     def packed(batches: Iterator[pa.RecordBatch]):
         sequence = (TaskContext.get().partitionId() << 33) + 1

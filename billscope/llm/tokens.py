@@ -15,6 +15,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+UNUSED = "<|billscope:unused|>"
+
 _loaded: dict[str, TokenIds] = {}
 
 
@@ -32,15 +34,16 @@ class TokenIds:
             and before.get("use_regex", True) and not layout.get("normalizer")
         )
         ranks = _ranks(layout) if plain else None
+        # the library writes arrays only where it knows a special token; texts that hold this one go to ``tokenizers``
         self.ranked = ranks and tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={UNUSED: max(ranks.values()) + 1}
         )
+        self.added.append(UNUSED)
 
     def encode(self, text: str) -> bytes:
         if self.ranked and not any(a in text for a in self.added):
-            ids = self.ranked.encode_ordinary(text)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.fromiter(ids, "<u4", len(ids)).tobytes()
 
 

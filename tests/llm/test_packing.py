@@ -129,3 +129,22 @@ def test_matrix_round_trip(spark, tmp_path):
     want = {i: raw for i, raw in whole_ids(rows)}
     assert {str(r.doc_id): b"".join(bytes(s.ids) for s in r.s) for r in got} == {k: v for k, v in want.items() if k not in ("None", "0")}
     assert best_fit.token_matrix(docs(spark, []), PATH).count() == 0
+
+
+def test_distinct_ids_and_their_counts():
+    rng = np.random.default_rng(3)
+    for ids in (np.zeros(0, "<u4"), np.array([7], "<u4"), rng.integers(0, 9, 400).astype("<u4"), np.full(5, 65_535, "<u4")):
+        want = np.unique(ids, return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip(packing.distinct(ids), want, strict=True))
+
+
+def test_ids_come_without_a_list_of_numbers():
+    model = tokens.load(PATH)
+    calls = []
+    model.ranked.encode_ordinary, kept = lambda text: calls.append(text) or [], model.ranked.encode_ordinary
+    try:
+        for text in ("Art. 5 \u00e9 \U0001f600", "", f"a {tokens.UNUSED} b"):
+            assert np.frombuffer(model.encode(text), "<u4").tolist() == model.tokenizer.encode(text, add_special_tokens=False).ids
+    finally:
+        model.ranked.encode_ordinary = kept
+    assert not calls

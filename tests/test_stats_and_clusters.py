@@ -244,7 +244,7 @@ def test_many_centroids_travel_in_parts(spark):
 def test_a_round_on_the_line_equals_a_look_up_of_each_value(spark):
     rng = np.random.default_rng(5)
     x, w = np.round(rng.normal(0, 9, 40_000), 2), rng.integers(1, 4, 40_000).astype(float)
-    frame = spark.createDataFrame(pd.DataFrame({"v": list(x[:, None]), "w": w}), "v array<double>, w double")
+    frame = spark.createDataFrame(pd.DataFrame({"x": x, "w": w})).select(F.array("x").alias("v"), "w")
     # a centre without values, equal centres, and values on a border
     centres = {0: np.array([[-1e6], [-3.0], [0.0], [1.0], [1.0], [7.5]]), 1: np.array([[0.25]])}
     line = kmeans._line(frame).persist()
