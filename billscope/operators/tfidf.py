@@ -13,6 +13,8 @@ from billscope.operators.keyed import attach
 
 # Fixed value: a token is two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: Characters of the texts whose terms one task counts, on average.
+DEALT = 1 << 24
 
 
 def tokens(text: Column) -> Column:
@@ -41,6 +43,12 @@ def term_counts(
     return without_words(terms, "term", words).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def dealt(df: DataFrame, text: str) -> int:
+    """Partitions for texts whose terms are counted."""
+    chars = df.agg(F.sum(F.length(text)).alias("n")).first().n or 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // DEALT))
+
+
 def tfidf(
     df: DataFrame,
     doc: str,
@@ -55,9 +63,10 @@ def tfidf(
     out. Terms in more than a hundredth of the documents are at most a hundred times the
     terms of one document; their idf comes by broadcast. The long tail takes a shuffle
     join, so no term gathers its rows in one task. Dealing the documents out by their key
-    first moves each text once; counting its terms then needs no shuffle of its own.
+    first moves each text once; counting its terms then needs no shuffle of its own. There are
+    at least as many partitions as ``DEALT`` takes, so what a task counts does not grow with the corpus.
     """
-    counts = term_counts(df.repartition(doc), doc, text, words)
+    counts = term_counts(df.repartition(dealt(df, text), doc), doc, text, words)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     frequency = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("_rows"))
     kept = frequency.withColumn("_n", n).where(

@@ -254,3 +254,11 @@ def test_a_round_on_the_line_equals_a_look_up_of_each_value(spark):
     for i, (size, total, cost) in kmeans._round(frame, centres).items():
         assert np.array_equal(got[i][0], size) and sum(got[i][3]) == len(x)
         assert np.allclose(got[i][1], total, rtol=1e-12, atol=1e-9) and np.isclose(got[i][2], cost, rtol=1e-12)
+
+
+def test_partitions_of_counted_texts_grow_with_their_characters(spark):
+    rows = spark.range(40).select("id", F.expr("repeat('ab ', 1 << 20)").alias("t"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tfidf.dealt(rows, "t") == max(least, -(-40 * 3 * (1 << 20) // tfidf.DEALT))
+    assert tfidf.dealt(spark.range(400).select("id", F.expr("repeat('ab ', 1 << 20)").alias("t")), "t") == 75
+    assert tfidf.dealt(rows.where("id < 0"), "t") == least
