@@ -30,6 +30,8 @@ from billscope.shared import release, settle, ship
 
 #: Non-zero weights that a task multiplies at a time.
 CHUNK = 1 << 14
+#: Vectors that a task hands back at a time, but for those of the last row.
+VECTORS = 1 << 12
 
 
 def buckets(text: Column, width: int, words: Sequence[str] = ()) -> Column:
@@ -47,6 +49,13 @@ def _cells(column: pa.Array) -> Iterator[np.ndarray]:
     yield from np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else ()
 
 
+def _stretches(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of stretches with about ``VECTORS`` vectors."""
+    before = np.cumsum(sizes) - sizes
+    starts = np.flatnonzero(np.diff(before // VECTORS, prepend=-1))
+    yield from zip(starts.tolist(), np.diff(starts, append=len(sizes)).tolist(), strict=True)
+
+
 def _weights(cell: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of one text, scaled to length one."""
     seen, counts = np.unique(cell.astype(np.int64), return_counts=True)
@@ -156,14 +165,18 @@ class Latent:
             return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), size).cast(pa.list_(pa.float64()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cells = batch.column(batch.num_columns - 1)
-                if many:
-                    ends = np.cumsum(cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                    vectors = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), lists(cells.flatten()))
-                else:
-                    vectors = lists(cells)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=names)
+            for whole in batches:
+                cells = whole.column(whole.num_columns - 1)
+                sizes = cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) if many else np.ones(len(cells), np.int64)
+                for start, length in _stretches(sizes.astype(np.int64)):
+                    batch = whole.slice(start, length)
+                    cells = batch.column(batch.num_columns - 1)
+                    if many:
+                        ends = np.cumsum(sizes[start : start + length])
+                        vectors = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), lists(cells.flatten()))
+                    else:
+                        vectors = lists(cells)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=names)
 
         ship(df.sparkSession)
         return df.withColumn("_buckets", found).mapInArrow(run, schema)

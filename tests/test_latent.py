@@ -99,3 +99,11 @@ def test_chains_take_learned_vectors(spark, learned):
     assert min(most) >= 17 and len({max(range(3), key=lambda c: sum(of[i] == c for i in range(t, 60, 3))) for t in range(3)}) == 3
     themed = spark.createDataFrame([(1, ["imposto e renda"], ["tributo", "vacina"])], "id int, sub_ementas array<string>, tokens_temas array<string>")
     assert themes.with_similarity(themed, model).first().similaridade > 0.3
+
+
+def test_vectors_leave_in_stretches_of_bounded_size():
+    sizes = np.array([3, 0, 5000, 4096, 1, 1, 0, 9000, 2] + [1] * 9000)
+    parts = list(latent._stretches(sizes))
+    assert [s for s, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) == len(sizes)
+    assert all(sizes[s : s + n - 1].sum() < latent.VECTORS for s, n in parts)
+    assert list(latent._stretches(np.zeros(0, np.int64))) == [] and list(latent._stretches(np.zeros(3, np.int64))) == [(0, 3)]
