@@ -110,12 +110,12 @@ def _multiply(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray
         total, touched = np.zeros((width, size)), np.zeros(width, bool)
         for batch in batches:
             for seen, weight, first in _chunks(_cells(batch.column(0)), idf):
-                placed = np.add.reduceat(weight[:, None] * basis[seen], first)
-                of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(seen))))
-                order = np.argsort(seen, kind="stable")
-                bucket, start = np.unique(seen[order], return_index=True)
-                total[bucket] += np.add.reduceat(weight[order, None] * placed[of[order]], start)
-                touched[bucket] = True
+                ends = np.append(first, len(seen)).tolist()
+                # a text's buckets differ, so its rows of the total can be added to at once
+                for start, end in zip(ends, ends[1:]):
+                    bucket, share = seen[start:end], weight[start:end]
+                    total[bucket] += np.multiply.outer(share, share @ basis[bucket])
+                touched[seen] = True
         found = np.flatnonzero(touched)
         for part in np.array_split(found, max(1, len(found) // 4096)):
             values = pa.FixedSizeListArray.from_arrays(pa.array(total[part].ravel()), size)

@@ -107,3 +107,16 @@ def test_vectors_leave_in_stretches_of_bounded_size():
     assert [s for s, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) == len(sizes)
     assert all(sizes[s : s + n - 1].sum() < latent.VECTORS for s, n in parts)
     assert list(latent._stretches(np.zeros(0, np.int64))) == [] and list(latent._stretches(np.zeros(3, np.int64))) == [(0, 3)]
+
+
+def test_a_pass_equals_the_dense_product(spark):
+    draw = np.random.default_rng(8)
+    texts = [draw.integers(0, 3000, 80).tolist() for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "buckets array<int>")
+    idf, basis = draw.random(4096) * (draw.random(4096) < 0.9), draw.normal(size=(4096, 9))
+    whole = np.zeros((300, 4096))
+    for i, cell in enumerate(texts):
+        np.add.at(whole[i], cell, 1.0)
+    whole *= idf
+    whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+    assert np.abs(latent._multiply(rows, idf, basis) - whole.T @ (whole @ basis)).max() < 1e-9
