@@ -25,10 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billscope.operators.prep import stratified_folds
-from billscope.shared import ship
+from billscope.shared import ship, summed
 
-#: Weights whose sums travel in one row.
-WIDTH = 64
 #: Pairs of moves that a quasi-Newton search remembers.
 MEMORY = 10
 HALVINGS = 30
@@ -246,25 +244,15 @@ def _sums(rows: DataFrame, trials: dict[int, tuple[Shape, np.ndarray, int]]) ->
         for i, (loss, gradient, n) in totals.items():
             if not n:
                 continue
-            parts = -(-len(gradient) // WIDTH)
-            wide = np.zeros(parts * WIDTH)
-            wide[: len(gradient)] = gradient
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(parts, i, np.int32)), pa.array(np.arange(parts, dtype=np.int32)),
-                pa.array(np.full(parts, n, np.int64)), pa.array(np.full(parts, loss)),
-                pa.FixedSizeListArray.from_arrays(pa.array(wide), WIDTH).cast(pa.list_(pa.float64())),
-            ], names=["fit", "part", "n", "loss", "total"])
-
-    sums = rows.mapInArrow(work, "fit int, part int, n long, loss double, total array<double>")
-    added = sums.groupBy("fit", "part").agg(
-        F.sum("n").alias("n"), F.sum("loss").alias("loss"),
-        F.array(*[F.sum(F.get("total", F.lit(d))) for d in range(WIDTH)]).alias("total"),
-    )
-    out = {i: [0.0, np.zeros(-(-shape.length // WIDTH) * WIDTH), 0] for i, (shape, _, _) in trials.items()}
-    for r in added.collect():
-        out[r.fit][0], out[r.fit][2] = r.loss, r.n
-        out[r.fit][1][r.part * WIDTH : (r.part + 1) * WIDTH] = r.total
-    return {i: (loss, total[: trials[i][0].length], n) for i, (loss, total, n) in out.items()}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([np.concatenate([gradient, [loss, n]]).tobytes()])], names=["fit", "s"]
+            )
+
+    out = {i: (0.0, np.zeros(shape.length), 0) for i, (shape, _, _) in trials.items()}
+    for r in summed(rows.mapInArrow(work, "fit int, s binary"), ["fit"]).collect():
+        whole = np.frombuffer(r.s)
+        out[r.fit] = (float(whole[-2]), whole[:-2], round(whole[-1]))
+    return out
 
 
 def descend(

@@ -93,3 +93,16 @@ def test_rows_that_cannot_be_used(spark, ring):
     assert search.transform(bad.where("false")).count() == 0
     with pytest.raises(ValueError):
         perceptron.perceptrons(bad.where("id = 1"), ["id"])
+
+
+def test_sums_of_a_pass_are_added_as_arrays(spark):
+    from billscope.shared import summed
+
+    rows = [(i % 3, i % 2, np.arange(5.0) * i) for i in range(40)]
+    frame = spark.createDataFrame([(a, b, bytearray(s.tobytes())) for a, b, s in rows], "fit int, part long, s binary").repartition(7)
+    got = {(r.fit, r.part): np.frombuffer(r.s) for r in summed(frame, ["fit", "part"]).collect()}
+    want = {}
+    for a, b, s in rows:
+        want[a, b] = want.get((a, b), 0) + s
+    assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+    assert summed(frame.where("fit > 9"), ["fit", "part"]).count() == 0
