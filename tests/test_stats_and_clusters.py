@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from billscope.operators import clusters, embed, kmeans, shares, stats, tfidf
+from billscope.operators import clusters, embed, kmeans, shares, sparse_kmeans, stats, tfidf
 
 # Golden case: dominant theme per cluster in, roll-up out.
 GOLDEN_IN = {
@@ -262,3 +262,39 @@ def test_partitions_of_counted_texts_grow_with_their_characters(spark):
     assert tfidf.dealt(rows, "t") == max(least, -(-40 * 3 * (1 << 20) // tfidf.DEALT))
     assert tfidf.dealt(spark.range(400).select("id", F.expr("repeat('ab ', 1 << 20)").alias("t")), "t") == 75
     assert tfidf.dealt(rows.where("id < 0"), "t") == least
+
+
+def test_sparse_kmeans_is_at_rest_and_best(spark):
+    draw = np.random.default_rng(4)
+    rows = []
+    for i in range(90):
+        own = draw.choice(8, 4, replace=False) + 10 * (i % 3)
+        w = draw.uniform(1, 2, 4)
+        rows += [(i * 7, f"t{t}", float(v)) for t, v in zip(own, w / np.sqrt((w**2).sum()))]
+    weights = spark.createDataFrame(rows, "row long, term string, weight double")
+    every = spark.createDataFrame([(i * 7,) for i in range(92)], "row long")  # the last two have no weight
+    got = {r.row: r.cluster for r in sparse_kmeans.kmeans_sparse(weights, every, 4, starts=5).collect()}
+    assert len(got) == 92 and set(got.values()) <= set(range(4))
+    names = sorted({t for _, t, _ in rows})
+    x = np.zeros((92, len(names)))
+    for i, t, v in rows:
+        x[i // 7, names.index(t)] = v
+    at = np.array([got[i * 7] for i in range(92)])
+    centres = np.array([x[at == c].mean(0) for c in range(4)])
+    away = ((x[:, None] - centres) ** 2).sum(2)
+    assert (away[np.arange(92), at] <= away.min(1) + 1e-9).all()
+    # the three kinds of rows stay apart
+    assert all(len({i % 3 for i in range(90) if at[i] == c}) == 1 for c in set(at[:90]) if c != at[91])
+    again = {r.row: r.cluster for r in sparse_kmeans.kmeans_sparse(weights.repartition(5), every, 4, starts=5).collect()}
+    assert again == got
+
+
+def test_sparse_kmeans_of_few_rows_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(sparse_kmeans, "GROUP_ROWS", 4)
+    monkeypatch.setattr(sparse_kmeans, "BLOCK_TERMS", 1)
+    rows = [(i, f"t{i % 2}", 1.0) for i in range(12)]
+    weights = spark.createDataFrame(rows, "row long, term string, weight double")
+    got = sparse_kmeans.kmeans_sparse(weights, weights.select("row"), 5, starts=2).collect()
+    assert len(got) == 12 and len({(r.row % 2, r.cluster) for r in got}) == 2
+    assert sparse_kmeans.kmeans_sparse(weights.where("row > 99"), weights.select("row"), 3, starts=1).select("cluster").distinct().count() == 1
+    assert sparse_kmeans.kmeans_sparse(weights.where("row > 99"), weights.select("row").where("row > 99"), 3).count() == 0
