@@ -77,3 +77,23 @@ def test_search_finds_the_rule_and_judges_rows(spark):
     assert right / len(y) > 0.85
     with pytest.raises(ValueError):
         boosting.boosted_search(df.where("id < 0"), ["id"], trees=(1,))
+
+
+def test_plain_rounds_equal_mllib(spark):
+    from pyspark.ml.classification import GBTClassifier
+
+    x, y = table()
+    df = models.assemble(spark.createDataFrame(
+        [(i, *map(float, v), int(b), i % 3) for i, (v, b) in enumerate(zip(x, y))], "id long, a double, b double, c double, label int, fold int"
+    ), ["a", "b", "c"]).persist()
+    outer, sizes = [{"depth": 2, "rate": 0.3}, {"depth": 3, "rate": 0.1}], [1, 3]
+    got = boosting.plain_scores(df, outer, sizes)
+    for point, scores in zip(outer, got):
+        want = np.zeros(len(sizes))
+        for fold in range(3):
+            model = GBTClassifier(maxIter=sizes[-1], maxDepth=point["depth"], stepSize=point["rate"], seed=42).fit(df.where(f"fold <> {fold}"))
+            margins = models.staged_margins(model, df.where(f"fold = {fold}"), sizes)
+            want += models.staged_scores(margins, [(F.get("_margins", F.lit(i)) > 0).cast("int") for i in range(len(sizes))], "label")
+        assert scores == pytest.approx(want / 3, abs=1e-12)
+    with pytest.raises(ValueError):
+        boosting.plain_scores(df.where("id < 0"), outer, sizes)
