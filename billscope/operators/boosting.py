@@ -44,8 +44,8 @@ class Growth:
     rate: float
     held: int
     base: float = 0.0
-    plain: bool = False
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    plain: bool = False
 
     def pulls(self, margin: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the next tree's leaves are made of: gradients and hessians, or the residuals' opposites and ones."""
