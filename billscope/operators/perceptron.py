@@ -6,6 +6,9 @@ each; those are added by one aggregate. The driver holds the weights, and for ea
 quasi-Newton search, whose trial steps are halved until the loss falls enough. So a grid of nine
 points in three folds takes as many passes as its slowest fit, not the sum of all.
 
+Rows of up to ``HELD`` numbers in all go to a task for each fit instead, which takes the same passes on its own: then no
+pass waits for a job of Spark's or for other fits.
+
 The loss is the mean cross entropy of a softmax over the classes plus ``penalty`` / (2 n) times the
 squared weights, without the intercepts. Rows with a null, a NaN or an infinite feature, or a null
 label, take no part in a fit; they get a null prediction. What travels grows with weights times fits,
@@ -30,6 +33,8 @@ from billscope.shared import ship, summed
 #: Pairs of moves that a quasi-Newton search remembers.
 MEMORY = 10
 HALVINGS = 30
+#: Numbers of all rows that a task may hold, and rows that it multiplies at a time.
+HELD, STRETCH = 1 << 23, 2048
 #: Share of the promised fall in loss that a step has to bring.
 ENOUGH = 1e-4
 
@@ -255,22 +260,76 @@ def _sums(rows: DataFrame, trials: dict[int, tuple[Shape, np.ndarray, int]]) ->
     return out
 
 
+def _step(run: Descent, loss: float, gradient: np.ndarray, n: int, penalty: float, tolerance: float) -> None:
+    """Let a fit judge its trial by the sums of a pass over ``n`` rows."""
+    if not n:
+        run.rests = True
+        return
+    size, pull = run.shape.squares(run.trial)
+    run.judge((loss + penalty * size) / n, (gradient + penalty * pull) / n, tolerance)
+
+
 def descend(
-    rows: DataFrame, fits: Sequence[tuple[Shape, int]], steps: int, penalty: float, tolerance: float, seed: int
+    rows: DataFrame, fits: Sequence[tuple[Shape, int]], steps: int, penalty: float, tolerance: float, seed: int, held: int = HELD
 ) -> list[Descent]:
-    """Fit each (shape, fold left out) on rows of ``v``, ``y``, ``f``; at most ``steps`` passes, all fits in each."""
+    """Fit each (shape, fold left out) on rows of ``v``, ``y``, ``f``; at most ``steps`` passes, all fits in each.
+
+    When all rows together have at most ``held`` numbers, a task takes all passes of one fit.
+    """
     runs = [Descent(shape, shape.first(np.random.default_rng((seed, at)))) for at, (shape, _) in enumerate(fits)]
     ship(rows.sparkSession)
+    if (rows.agg(F.sum(F.size("v").cast("long")).alias("n")).first().n or 0) <= held:
+        return _descend_apart(rows, runs, [fold for _, fold in fits], steps, penalty, tolerance)
     for _ in range(steps):
         moving = {i: (r.shape, r.trial, fits[i][1]) for i, r in enumerate(runs) if not r.rests}
         if not moving:
             break
         for i, (loss, gradient, n) in _sums(rows, moving).items():
-            if not n:
-                runs[i].rests = True
-                continue
-            size, pull = runs[i].shape.squares(moving[i][1])
-            runs[i].judge((loss + penalty * size) / n, (gradient + penalty * pull) / n, tolerance)
+            _step(runs[i], loss, gradient, n, penalty, tolerance)
+    return runs
+
+
+def _descend_apart(rows: DataFrame, runs: list[Descent], folds: Sequence[int], steps: int, penalty: float, tolerance: float) -> list[Descent]:
+    """The same passes; each fit has a task, which holds all rows."""
+    heavy = sorted(range(len(runs)), key=lambda i: -runs[i].shape.length)  # these begin first
+    width = runs[0].shape.sizes[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = [pa.array([np.ascontiguousarray(a).tobytes()]) for a in _arrays(batch)]
+                yield pa.RecordBatch.from_arrays(cells, names=["v", "y", "f"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for place, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = place
+                points, labels, marks = (np.frombuffer(b, t) for b, t in zip(cells, (float, np.int32, np.int32)))
+                mine = marks != folds[heavy[place]]
+                held.append((points.reshape(-1, width)[mine], labels[mine]))
+        if at is None:
+            return
+        points, labels = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        run = runs[heavy[at]]
+        for _ in range(steps):
+            if run.rests:
+                break
+            loss, gradient, trial = 0.0, np.zeros(run.shape.length), run.trial
+            for low in range(0, len(points), STRETCH):
+                more, slope = run.shape.loss(trial, points[low : low + STRETCH], labels[low : low + STRETCH])
+                loss, gradient = loss + more, gradient + slope
+            _step(run, loss, gradient, len(points), penalty, tolerance)
+        cells = [pa.array([heavy[at]], pa.int32()), pa.array([run.loss]), pa.array([run.place.tobytes()]), pa.array([run.rests])]
+        yield pa.RecordBatch.from_arrays(cells, names=["fit", "loss", "place", "rests"])
+
+    spark = rows.sparkSession
+    places = spark.range(len(runs)).select(F.col("id").cast("int").alias("at")).repartitionById(len(runs), "at")
+    packed = rows.select("v", "y", "f").mapInArrow(pack, "v binary, y binary, f binary").coalesce(1)
+    found = places.hint("shuffle_replicate_nl").crossJoin(packed).mapInArrow(work, "fit int, loss double, place binary, rests boolean")
+    for r in found.collect():
+        runs[r.fit].loss, runs[r.fit].place, runs[r.fit].rests = r.loss, np.frombuffer(r.place).copy(), r.rests
     return runs
 
 

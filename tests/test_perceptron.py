@@ -106,3 +106,14 @@ def test_sums_of_a_pass_are_added_as_arrays(spark):
         want[a, b] = want.get((a, b), 0) + s
     assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
     assert summed(frame.where("fit > 9"), ["fit", "part"]).count() == 0
+
+
+def test_small_tables_take_no_job_for_each_pass(ring, monkeypatch):
+    shapes = [(Shape((2, 5, 2), "tanh"), -1), (Shape((2, 4, 3, 2), "relu"), 1), (Shape((2, 6, 2), "logistic"), 0)]
+    rows = perceptron._usable(prep.stratified_folds(ring, "label", ["id"]), "features", "label", F.col("fold")).persist()
+    together = perceptron.descend(rows, shapes, 25, 1e-4, 1e-6, 7, held=0)
+    monkeypatch.setattr(perceptron, "STRETCH", 50)
+    monkeypatch.delattr(perceptron, "_sums")
+    apart = perceptron.descend(rows, shapes, 25, 1e-4, 1e-6, 7)
+    for one, other in zip(together, apart):
+        assert other.loss == pytest.approx(one.loss, rel=1e-6) and other.place == pytest.approx(one.place, rel=1e-4, abs=1e-5)
